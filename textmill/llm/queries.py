@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from . import decontaminate, language_id, line_dedup, media, mixing, quality, toxicity, url_filter
 from .common import fold, table
 
 
@@ -31,9 +31,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixed.select("doc_id", "source", "mix_position", "mix_phase", "mix_block")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", "n_left", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.CONTRACT_RULES, ["page_id"]).drop("blame")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, benchmark, ["doc_id"]).drop("items")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+#: Target weights of the production mixture; sources that aren't named weigh 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
+
+_QUERIES = (
+    op1_language_id, op2_quality, op3_mixing, op4_line_dedup, op5_url_filter, op6_decontamination,
+    op9_media, op10_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op10_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": url_filter.judge_sql(url_filter.CONTRACT_RULES),
+        "op6_decontamination": decontaminate.SQL,
+    }

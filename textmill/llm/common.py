@@ -99,5 +99,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return docs.select(key, text).join(F.broadcast(chosen), key).select(key, text, label)
 
 
+_IS_SPACE = np.isin(np.arange(256), list(SPACE_BYTES))
+_U = np.uint64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit words (xor-shifts and odd multipliers)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_PLACE = mixed(np.arange(64, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(1)) | _U(1)
+_BYTE = mixed(np.arange(256, dtype=np.uint64) + _U(0x1234567))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a byte string: its runs of anything but white space.
+
+    A word's hash is the sum over its bytes of a random word of the byte times an odd number
+    of its place, scrambled once more, so it depends on bytes and places alone.
+    """
+    b = np.frombuffer(raw, dtype=np.uint8)
+    solid = ~_IS_SPACE[b]
+    first = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1]))) if len(b) else np.zeros(0, dtype=np.int64)
+    if not len(first):
+        return np.zeros(0, dtype=np.uint64)
+    begin = first[0]
+    place = np.arange(begin, len(b)) - np.repeat(first, np.diff(np.append(first, len(b))))
+    part = _BYTE[b[begin:]] * (_PLACE[place & 63] + (place >> 6).astype(np.uint64) * _U(2))
+    part[~solid[begin:]] = 0
+    return mixed(np.add.reduceat(part, first - begin))
+
+
+def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of ``size`` consecutive words; of all words where they are fewer."""
+    n = min(size, len(words))
+    if not n:
+        return words
+    total = np.full(len(words) - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        total += words[i : len(words) - n + 1 + i] * _PLACE[i + 7]
+    return np.unique(mixed(total))
+
+
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))

@@ -30,10 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, labelled_sample, map_texts, sigmoid, slices
+from .common import SPACE_BYTES, labelled_sample, map_texts, sigmoid, slices, word_hashes
 
 _CLASS = np.array([1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b in SPACE_BYTES and b != 10 else b + 5 for b in range(256)], dtype=np.uint32)
-_IS_SPACE = np.isin(np.arange(256), list(SPACE_BYTES))
 
 
 def _hashed(code: np.ndarray, order: int, bits: int, space: int) -> np.ndarray:
@@ -53,16 +52,8 @@ def indicators(text: str | None, bits: int) -> np.ndarray:
     length = np.diff(np.append(starts, len(raw)))
     code = kind[starts] * np.uint32(4) + np.where(kind[starts] <= 3, 0, np.minimum(length, 3)).astype(np.uint32)
     out = [_hashed(code, n, bits, 1) for n in (1, 2, 3, 4) if len(code) >= n]
-    solid = ~_IS_SPACE[raw]
-    first = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
-    if len(first):
-        step = np.arange(len(raw), dtype=np.uint64)
-        mixed = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        origin = np.repeat(first, np.diff(np.append(first, len(raw)))).astype(np.uint64)
-        place = step[first[0] :] - origin
-        mixed = np.where(solid[first[0] :], (mixed[first[0] :] ^ (place * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93), np.uint64(0))
-        mixed ^= mixed >> np.uint64(29)
-        word = np.add.reduceat(mixed, first - first[0])
+    word = word_hashes(raw.tobytes())
+    if len(word):
         mark = np.zeros(len(word), dtype=np.uint32)
         mark[1:] += (word[1:] == word[:-1]).astype(np.uint32)
         mark[2:] += np.uint32(2) * (word[2:] == word[:-2]).astype(np.uint32)

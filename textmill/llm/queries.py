@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, media, mixing, quality, toxicity, url_filter
+from . import decontaminate, jaccard_join, language_id, line_dedup, lm_score, media, mixing, quality, toxicity, url_filter
 from .common import fold, table
 
 
@@ -55,6 +55,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    model = lm_score.fit(docs.where(~F.col("held_out")))
+    return lm_score.score(docs, model, ["doc_id", "held_out"])
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -64,7 +70,7 @@ MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
 
 _QUERIES = (
     op1_language_id, op2_quality, op3_mixing, op4_line_dedup, op5_url_filter, op6_decontamination,
-    op7_jaccard_join, op9_media, op10_toxicity,
+    op7_jaccard_join, op8_lm_score, op9_media, op10_toxicity,
 )
 
 

@@ -366,7 +366,10 @@ def with_ids(named: DataFrame, roots: DataFrame | None, key: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure | None = None) -> DataFrame:
-    """The rows of ``docs`` whose key is the least of its component; repeated rows stay one."""
-    ids = link_components(docs, key, text, measure).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.join(ids.hint("shuffle_hash"), key, "left_semi")
+    """The rows of ``docs`` whose key is the least of its component.
+
+    Rows that repeat a kept key stay, and so do rows without a key, which nothing tells apart.
+    """
+    ids = link_components(docs, key, text, measure).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = docs.join(ids.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
     return kept.union(docs.where(F.col(key).isNull())) if docs.schema[key].nullable else kept

@@ -29,3 +29,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    """Query modules register themselves on import."""
+    from . import q_features, q_shape, q_stats, q_stream  # noqa: F401
+
+
+_load()

@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
-A line's tokens are its parts between blanks, tabs and carriage returns; a token with a digit
+A line's tokens are its parts between single blanks, outer blanks aside; a token with a digit
 is a variable field and reads ``<*>``.  The tree has a level for the number of tokens and one
 for each of the ``depth`` leading tokens; a leaf's lines are alike in those.  A leaf's
 template has, at each position, the token that more than half of the leaf's distinct lines
@@ -11,10 +11,10 @@ A template recurs if lines of it are in more than one document.  Its lines are d
 all documents but the first (smallest key), which keeps them, so that no text is lost from
 the collection.  Lines of fewer than ``min_tokens`` tokens are left alone.
 
-Texts are read twice and shuffled twice, once as lines of fixed leaf and once for the final
-join; all else moves hashes.  Leaves of one document are left out before any text moves, and
-equal lines of a leaf are combined before they meet, so a line that a third of all documents
-share costs each task one row.
+Lines are moved as hashes, but for those whose leaf is in several documents, which a bit array
+of fixed size (``bits``) tells from most others before the shuffle.  Equal lines of a leaf are
+combined before they meet, so a line that a third of all documents share costs each task one
+row.  The final join moves each text once.
 
 Defined results: a null or empty text has no lines to drop and stays as it is; rows that are
 equal in key and text are one document and get equal results; a null key sorts first; an
@@ -27,34 +27,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 ADDED = ("n_lines", "n_dropped", "n_left")
 FIELD = "<*>"
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line, variable fields generalised."""
-    parts = F.split(F.trim(F.translate(line, "\t\r", "  ")), " +")
-    return F.when(line.rlike("[0-9]"), F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(parts)
+def masked_line(line: Column) -> Column:
+    """The line with its variable fields generalised."""
+    line = F.trim(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
+
+
+def n_tokens(line: Column) -> Column:
+    line = F.trim(line)
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
     """Rows (__key, __id, line_no, masked, leaf) of the lines that the tree holds."""
     lines = docs.select("__key", "__id", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    lines = lines.select("__key", "__id", "line_no", tokens_of(F.col("line")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    return lines.select("__key", "__id", "line_no", F.concat_ws(" ", "tokens").alias("masked"), leaf.alias("leaf"))
+    lines = lines.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= min_tokens).withColumn("masked", masked_line(F.col("line")))
+    leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
+    return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf"))
+
+
+def bit_of(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(3)), F.lit(bits))
+
+
+def bloom(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """One row: an array of ``bits`` bits in longs, one set for every hash; its size is fixed."""
+    at = hashes.select(bit_of(F.col(column), bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("b"))
+    every = hashes.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("words"))
 
 
-def templates(lines: DataFrame, similarity: float) -> DataFrame:
+def templates(lines: DataFrame, similarity: float, bits: int) -> DataFrame:
     """Rows (line_hash, first) of every line of a recurring template; first is its first document."""
     who = F.struct("__key", "__id")
     spread = lines.groupBy("leaf").agg(F.min(who).alias("first"), F.max(who).alias("last"))
-    recurring = spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("leaf")
-    inside = lines.join(recurring.hint("shuffle_hash"), "leaf")
+    recurring = spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("leaf").checkpoint()
+    # Most lines of other leaves stay where they are; the join settles the rest.
+    words, at = bloom(recurring, "leaf", bits).scalar(), bit_of(F.col("leaf"), bits)
+    maybe = F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+    inside = lines.where(maybe).join(recurring.hint("shuffle_hash"), "leaf")
     # A hash of the leaf, so that equal lines are combined before they are dealt out anew.
     distinct = (
         inside.select(F.xxhash64(F.col("leaf"), F.lit(1)).alias("leaf2"), "masked", F.xxhash64("leaf", "masked").alias("line_hash"), who.alias("who"))
         .groupBy("leaf2", "masked", "line_hash").agg(F.min("who").alias("first"), F.max("who").alias("last"))
+        .checkpoint()
     )
     sizes = distinct.groupBy("leaf2").agg(F.count("*").alias("n"))
     mixed = distinct.join(sizes.where("n > 1").hint("shuffle_hash"), "leaf2")
@@ -65,14 +88,14 @@ def templates(lines: DataFrame, similarity: float) -> DataFrame:
     parts = F.split("masked", " ")
     equal = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), F.lit(0), lambda n, i: n + F.when(F.col("template")[i] == parts[i], 1).otherwise(0))
     belongs = F.col("template").isNotNull() & (equal >= F.lit(similarity) * F.size(parts))
-    judged = judged.select("line_hash", "first", "last", F.when(belongs, F.col("leaf2")).otherwise(F.col("line_hash")).alias("tid"), belongs.alias("shared"))
+    judged = judged.select("line_hash", "first", "last", F.when(belongs, F.col("leaf2")).otherwise(F.col("line_hash")).alias("tid"), belongs.alias("shared")).checkpoint()
     ends = judged.groupBy("tid", "shared").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     ends = ends.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     return judged.select("line_hash", "tid", "shared").join(ends.hint("shuffle_hash"), ["tid", "shared"]).select("line_hash", "first")
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.7, min_tokens: int = 5
+    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.7, min_tokens: int = 5, bits: int = 1 << 23
 ) -> DataFrame:
     """All rows; ``text`` without the dropped lines, then n_lines, n_dropped and n_left.
 
@@ -81,7 +104,8 @@ def dedup_lines(
     docs = docs.drop(*ADDED)
     named = docs.withColumn("__key", F.col(key)).withColumn("__id", F.xxhash64(F.lit(7), F.col(text)))
     lines = lines_of(named.select("__key", "__id", text), text, depth, min_tokens)
-    found = templates(lines, similarity)
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = templates(lines, similarity, bits)
     slim = lines.select("__key", "__id", "line_no", F.xxhash64("leaf", "masked").alias("line_hash"))
     hit = slim.join(found, "line_hash").where(~F.struct("__key", "__id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("__key", "__id").agg(F.collect_set("line_no").alias("__drop"))
@@ -90,7 +114,7 @@ def dedup_lines(
     joined = named.join(drops.hint("shuffle_hash"), same, "left")
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__drop"), i))
-    left = F.filter(F.col("__kept"), lambda line: F.size(tokens_of(line)) >= min_tokens)
+    left = F.filter(F.col("__kept"), lambda line: n_tokens(line) >= min_tokens)
     joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), parts).otherwise(kept))
     out = {c: F.col(c) for c in docs.columns}
     out[text] = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))

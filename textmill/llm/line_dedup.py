@@ -44,6 +44,11 @@ def n_tokens(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
+def placed(masked: Column) -> Column:
+    """Tokens of a masked line, each with its position."""
+    return F.transform(F.split(masked, " "), lambda t, i: F.concat(i.cast("string"), F.lit(" "), t))
+
+
 def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
     """Rows (__key, __id, line_no, masked, leaf) of the lines that the tree holds."""
     lines = docs.select("__key", "__id", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
@@ -81,13 +86,12 @@ def templates(lines: DataFrame, similarity: float, bits: int) -> DataFrame:
     )
     sizes = distinct.groupBy("leaf2").agg(F.count("*").alias("n"))
     mixed = distinct.join(sizes.where("n > 1").hint("shuffle_hash"), "leaf2")
-    at = mixed.select("leaf2", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    common = at.groupBy("leaf2", "n", "pos", "token").agg(F.count("*").alias("c")).where(F.col("c") * 2 > F.col("n"))
-    tree = common.groupBy("leaf2").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("template"))
+    at = mixed.select("leaf2", "n", F.explode(placed(F.col("masked"))).alias("token"))
+    common = at.groupBy("leaf2", "n", "token").agg(F.count("*").alias("c")).where(F.col("c") * 2 > F.col("n"))
+    tree = common.groupBy("leaf2").agg(F.collect_list("token").alias("template"))
     judged = distinct.join(tree.hint("shuffle_hash"), "leaf2", "left")
-    parts = F.split("masked", " ")
-    equal = F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), F.lit(0), lambda n, i: n + F.when(F.col("template")[i] == parts[i], 1).otherwise(0))
-    belongs = F.col("template").isNotNull() & (equal >= F.lit(similarity) * F.size(parts))
+    equal = F.size(F.array_intersect(placed(F.col("masked")), "template"))
+    belongs = F.col("template").isNotNull() & (equal >= F.lit(similarity) * n_tokens(F.col("masked")))
     judged = judged.select("line_hash", "first", "last", F.when(belongs, F.col("leaf2")).otherwise(F.col("line_hash")).alias("tid"), belongs.alias("shared")).checkpoint()
     ends = judged.groupBy("tid", "shared").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     ends = ends.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")

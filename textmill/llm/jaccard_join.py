@@ -6,8 +6,8 @@ most H = floor(n / 3) elements, as seen from either of sizes n (in general n (de
 
 1. *Classes.*  Equal sets are one class, named by a 64-bit hash of the set.  All that follows
    works on classes, so copies cost nothing beyond their own row.
-2. *Universe partition.*  Sizes fall in bands (hi/2, hi].  A band's scheme hashes the universe
-   into m segments; a set takes part in the scheme of its own band, and in the one below if
+2. *Universe partition.*  Sizes fall in bands (hi/2, hi].  A band's scheme cuts the universe
+   into 2 ** b segments by the first bits of the elements' hashes; a set takes part in the scheme of its own band, and in the one below if
    it is within den / num of that band's end, so any two that can link meet in a scheme.  A
    set's subset in a segment has a signature.  H differences spoil at most H segments, so a
    set with more than H non-empty segments shares the signature of one of them.
@@ -23,9 +23,11 @@ most H = floor(n / 3) elements, as seen from either of sizes n (in general n (de
    has come first; a set with H + 1 of these has no partner and is done.  (Schemes with
    deletions use all signatures instead.)
 6. *Verification.*  Candidates are linked to the least of those that share a signature and
-   verified on the whole sets; then in a second round by another order; finally all pairs
-   that share a signature and are not yet in one component nor known to differ are verified.
-   So components are exact, and a group of near copies takes about one pair a member.
+   verified on the whole sets; then in a second round by another order.  What still shares a
+   signature across components is settled by its elements: of n, ordered by how many of these
+   sets have them, two that link share one of the n - ceil(num n / den) + 1 rarest, and only
+   pairs that do are verified.  So components are exact, while a group of near copies takes a
+   few pairs a member, and sets that differ from the group in what is their own take none.
 
 Shingles are compared by 64-bit hashes.
 
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -51,10 +53,8 @@ from .common import lower_ascii, mixed, shingle_hashes, slices, word_hashes
 from .components import connected_components
 
 _U = np.uint64
-#: Mean elements of a segment, at the largest set of a scheme, and shares of segments with deletions that are tried.
-DENSITIES = (2.5, 1.8, 1.3, 0.9, 0.5, 0.2, 0.05, 0.01, 0.001)
-DELETION_SHARES = (0.0, 0.25)
-OPTIONS = [(density, share) for density in DENSITIES for share in DELETION_SHARES]
+#: What is tried for a scheme: doublings of its least number of segments, and the share of segments with deletions.
+OPTIONS = [(finer, share) for finer in (0, 1, 2, 3, 6, 24) for share in (0.0, 0.25)]
 
 
 class Measure:
@@ -74,11 +74,10 @@ class Measure:
         below = [k - 1] if k and n * self.num <= self.den << (k - 1) else []
         return [*below, k]
 
-    def segments(self, k: int, option: int) -> tuple[int, int]:
-        """Number of segments of a scheme, and how many of them have deletions."""
-        density, share = OPTIONS[option]
-        m = max(1, math.ceil((self.den << k) / self.num / density))
-        return m, int(m * share)
+    def segments(self, k: int, option: int) -> tuple[int, float]:
+        """Exponent of the number of segments of a scheme, and the share of them that has deletions."""
+        finer, share = OPTIONS[option]
+        return max(1, k - 1) + finer, share
 
     def elements(self, text: str | None) -> np.ndarray:
         return shingle_hashes(word_hashes(lower_ascii(text or "")), self.size)
@@ -88,37 +87,31 @@ def class_id(elements: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def segment_of(elements: np.ndarray, k: int, m: int) -> np.ndarray:
-    return (mixed(elements + _U(k * 0x9E3779B1 + 11)) >> _U(11)) % _U(m)
+def runs(elements: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Non-empty segments of a sorted set of hashes, which the first ``bits`` bits name: name, first element, size."""
+    segment = elements >> _U(64 - bits)
+    begin = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    return segment[begin], begin, np.diff(np.append(begin, len(elements)))
 
 
-def gain_and_cost(elements: np.ndarray, k: int, m: int, with_deletions: int) -> tuple[int, int]:
+def gain_and_cost(elements: np.ndarray, bits: int, share: float) -> tuple[int, int]:
     """How many differences the signatures outlast, plus one; and the number of signatures."""
-    load = np.bincount(segment_of(elements, k, m).astype(np.int64), minlength=m) if m <= 8 * len(elements) else None
-    if load is None:
-        where, load = np.unique(segment_of(elements, k, m).astype(np.int64), return_counts=True)
-        wide = load[(where < with_deletions) & (load > 1)]
-    else:
-        wide = load[:with_deletions]
-        wide = wide[wide > 1]
-    filled = int((load > 0).sum())
-    return filled + len(wide), filled + int(wide.sum())
+    segment, _, size = runs(elements, bits)
+    wide = size[(size > 1) & (segment < _U(int(share * (1 << bits))))] if share else size[:0]
+    return len(size) + len(wide), len(size) + int(wide.sum())
 
 
-def signatures(elements: np.ndarray, k: int, m: int, with_deletions: int) -> tuple[np.ndarray, int]:
+def signatures(elements: np.ndarray, k: int, bits: int, share: float) -> tuple[np.ndarray, int]:
     """64-bit signatures of the non-empty segments, deletions last, and the number of those segments."""
-    segment = segment_of(elements, k, m)
-    order = np.argsort(segment, kind="stable")
-    segment, value = segment[order], mixed(elements[order] ^ _U(0x5851F42D4C957F2D))
-    begin = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+    segment, begin, size = runs(elements, bits)
+    value = mixed(elements ^ _U(0x5851F42D4C957F2D))
     total = np.add.reduceat(value, begin)
-    tag = segment[begin] * _U(0x9E3779B97F4A7C15) + _U(k)
+    tag = segment * _U(0x9E3779B97F4A7C15) + _U(k)
     out = mixed(total + mixed(tag))
-    if with_deletions:
-        length = np.diff(np.append(begin, len(segment)))
-        wide = np.repeat((length > 1) & (segment[begin] < _U(with_deletions)), length)
-        less = (np.repeat(total, length) - value)[wide]
-        out = np.concatenate([out, mixed(less + mixed(np.repeat(tag, length)[wide]))])
+    if share:
+        wide = np.repeat((size > 1) & (segment < _U(int(share * (1 << bits)))), size)
+        less = (np.repeat(total, size) - value)[wide]
+        out = np.concatenate([out, mixed(less + mixed(np.repeat(tag, size)[wide]))])
     return out, len(begin)
 
 
@@ -138,7 +131,7 @@ def describe(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFram
                         if len(seen) > 100_000:
                             seen.clear()
                         bands = measure.bands(len(e))
-                        tried = [gain_and_cost(e, k, *measure.segments(k, o)) for k in bands for o in range(len(OPTIONS))]
+                        tried = [gain_and_cost(e, *measure.segments(k, o)) for k in bands for o in range(len(OPTIONS))]
                         margin = measure.most_differences(len(e)) + 1
                         seen[cid] = (len(e), cid, bands, [g - margin for g, _ in tried], [c for _, c in tried])
                     rows.append(seen[cid])
@@ -323,6 +316,32 @@ def relabelled(prefix: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.join(split, "sig", "left_semi")
 
 
+def rare_pairs(unresolved: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest elements.
+
+    Elements are counted among the unresolved sets; those of one component alone, and all but
+    a set's first n - ceil(num n / den) + 1 in the order of rarity, are left out.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                found = [np.frombuffer(x, dtype=np.int64) for x in part["elements"]]
+                size = [len(f) for f in found]
+                yield pd.DataFrame({"e": np.concatenate(found), **{c: np.repeat(part[c].to_numpy(), size) for c in ("cid", "n", "root")}})
+
+    each = unresolved.join(sets, "cid").select("cid", "n", "root", "elements").mapInPandas(spread, "e long, cid long, n int, root long")
+    seen = each.groupBy("e").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+    order = Window.partitionBy("cid").orderBy("c", "e")
+    first = each.join(seen, "e").withColumn("i", F.row_number().over(order))
+    first = first.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * measure.num / measure.den) + 1).where("r1 != r2")
+    first = first.select("e", "cid", "n", "root").checkpoint()
+    other = first.select("e", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    apart = first.join(other, "e").where("cid < c2 and root != root2")
+    return comparable(apart, "n", "n2", measure).select(F.col("cid").alias("a"), F.col("c2").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure | None = None, signatures_a_bucket: int = 1_500_000) -> DataFrame:
     """Rows (key, n_shingles, component_id); component_id is the least key of those reachable by links."""
     measure = measure or Measure()
@@ -346,9 +365,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", me
         judged = judged.union(again)
         roots = connected_components(judged.where("linked"))
         rest = relabelled(rest.drop("root"), roots).checkpoint()
-        other = rest.select("sig", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        apart = rest.join(other, "sig").where("cid < c2 and root != root2")
-        apart = comparable(apart, "n", "n2", measure).select(F.col("cid").alias("a"), F.col("c2").alias("b")).distinct()
+        apart = rare_pairs(rest.select("cid", "n", "root").distinct(), sets, measure)
         final = verified(apart.join(judged.select("a", "b"), ["a", "b"], "left_anti"), sets, measure).checkpoint()
         roots = connected_components(judged.union(final).where("linked"))
     return with_ids(named, roots, key)

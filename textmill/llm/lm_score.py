@@ -11,7 +11,8 @@ candidates are the contexts of up to ``depth`` bytes whose share of all position
 does not depend on the corpus.  From short to long, a context is retained if its distribution
 diverges by ``divergence`` nats or more (Kullback-Leibler) from that of its longest retained
 suffix.  Distributions are smoothed towards that suffix's with the weight of ``kappa``
-observations, at the root with half an observation for each of 256 bytes.  A position is
+observations for each symbol seen in the context, at the root with half an observation for
+each of 256 bytes.  A position is
 scored in the state of its longest retained suffix.
 
 The base needs exact counts of all words.  Words whose share is at least ``word_share`` (at
@@ -93,7 +94,7 @@ def unpacked(data: bytes, rising: bool = False) -> np.ndarray:
 class Tally:
     """Counts of 64-bit keys, compacted as they come."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 2_000_000):
         self.keys, self.counts, self.size, self.most = [], [], 0, most
 
     def add(self, values: np.ndarray) -> None:
@@ -112,8 +113,13 @@ class Tally:
         return summed(np.concatenate(self.keys), np.concatenate(self.counts))
 
 
+#: Grams are many more than words, and go to so many times as many buckets.
+GRAM_BUCKETS = 12
+
+
 def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     tail = keys if kind == WORDS else (keys >> _U(8)) & _U(0xFFFF)
+    buckets = buckets if kind == WORDS else buckets * GRAM_BUCKETS
     return ((tail * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(buckets)).astype(np.int64)
 
 
@@ -124,7 +130,7 @@ def count(train: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tallies = {WORDS: Tally(), GRAMS: Tally()}
         for batch in batches:
-            for piece in slices(batch, text, rows=4096, chars=4_000_000):
+            for piece in slices(batch, text, rows=4096, chars=2_000_000):
                 texts = [content(t) for t in piece[text]]
                 tallies[WORDS].add(np.append(word_hashes(b"".join(texts)), np.full(len(texts), END)))
                 data, at, _ = stream(texts, depth)
@@ -276,7 +282,8 @@ def grow(rows: pd.DataFrame, depth: int, least: float, divergence: float, kappa:
             found = known.find((name[open_] & _U((1 << 8 * m) - 1)) | _U(m << 56))
             parent[open_] = np.maximum(found, 0)
         before = np.concatenate(probs)[parent]
-        p = (seen + kappa * before) / (total + kappa)[:, None]
+        mass = kappa * (seen > 0).sum(axis=1)  # as many pseudo-observations as symbols were seen
+        p = (seen + mass[:, None] * before) / (total + mass)[:, None]
         weight = p * np.concatenate([np.ones(width - 1), [256.0 - len(symbols)]])  # the last column stands for many bytes
         far = (weight * np.log(p / before)).sum(axis=1) >= divergence
         keys.append(name[far] | _U(n << 56))
@@ -297,7 +304,7 @@ class Model:
 
 def fit(
     train: DataFrame, text: str = "text", depth: int = 6, p_min: float = 4e-6, divergence: float = 0.01,
-    kappa: float = 4.0, word_share: float = 2e-6, bucket_chars: int = 100_000_000,
+    kappa: float = 6.0, word_share: float = 2e-6, bucket_chars: int = 100_000_000,
 ) -> Model:
     """Counts all of ``train`` and grows the tree."""
     ensure_checkpoint_dir(train.sparkSession)
@@ -342,7 +349,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         value, table, tree_score = np.log10((counts + 0.5) / floor), Lookup(frequent), tree.scorer()
         serial = int.from_bytes(os.urandom(7), "little")  # what is written below is read back, never run again
         for batch in batches:
-            for piece in slices(batch, text, rows=1024, chars=2_000_000):
+            for piece in slices(batch, text, rows=1024, chars=1_000_000):
                 texts = [content(t) for t in piece[text]]
                 n = np.array([t.count(b" ") for t in texts], dtype=np.int64)
                 words = word_hashes(b"".join(texts))

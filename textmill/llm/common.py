@@ -143,5 +143,24 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def bit_of(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(3)), F.lit(bits))
+
+
+def bloom(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """One row: an array of ``bits`` bits in longs, one set for every hash; its size is fixed."""
+    at = hashes.select(bit_of(F.col(column), bits).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("b"))
+    every = hashes.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("words"))
+
+
+def maybe(words: Column, column: Column, bits: int) -> Column:
+    """Whether a hash may be among those of the bit array ``words``."""
+    at = bit_of(column, bits)
+    word = F.get(words, F.shiftright(at, 6).cast("int"))
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+
+
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))

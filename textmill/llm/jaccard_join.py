@@ -49,12 +49,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import lower_ascii, mixed, shingle_hashes, slices, word_hashes
+from .common import bloom, lower_ascii, maybe, mixed, shingle_hashes, slices, word_hashes
 from .components import connected_components
 
 _U = np.uint64
 #: What is tried for a scheme: doublings of its least number of segments, and the share of segments with deletions.
-OPTIONS = [(finer, share) for finer in (0, 1, 2, 3, 6, 24) for share in (0.0, 0.25)]
+OPTIONS = [(0, 0.0), (0, 0.25), (1, 0.0), (1, 0.25), (2, 0.0), (5, 0.0), (24, 0.0)]
 
 
 class Measure:
@@ -233,20 +233,15 @@ def rarest(found: DataFrame, measure: Measure, chosen: dict[int, int]) -> DataFr
     return listed.select("cid", "n", F.explode(F.slice("sigs", 1, F.greatest(F.lit(1), "need"))).alias("s")).select(F.col("s.sig").alias("sig"), "cid", "n")
 
 
-def bloom(ids: DataFrame, column: str, bits: int = 1 << 24) -> np.ndarray:
-    """A bit array of fixed size with a bit set for every id."""
-    at = F.pmod(F.xxhash64(column), F.lit(bits))
-    words = ids.select(at.alias("at")).groupBy((F.col("at") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("b"))
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    for w, b in words.collect():  # at most bits / 64 rows
-        out[w] = b & 0xFFFFFFFFFFFFFFFF
-    return out
+def sets_of(docs: DataFrame, key: str, text: str, measure: Measure, named: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows (cid, elements) of the wanted classes, from one text of each.
 
-
-def sets_of(docs: DataFrame, text: str, measure: Measure, wanted: DataFrame) -> DataFrame:
-    """Rows (cid, elements) of the wanted classes; a Bloom filter keeps most others from being moved."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "cid"))
-    named = docs.select(text)
+    A bit array of fixed size over the keys of these texts keeps most others from being read
+    into sets; the join settles the rest.
+    """
+    keys = named.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(key).alias("key"))
+    words = bloom(keys.where("key is not null").select(F.xxhash64("key").alias("h")), "h", bits).scalar()
+    some = docs.select(key, text).where(F.col(key).isNull() | maybe(words, F.xxhash64(F.col(key)), bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -255,29 +250,16 @@ def sets_of(docs: DataFrame, text: str, measure: Measure, wanted: DataFrame) ->
                 rows = []
                 for t in piece[text]:
                     e = measure.elements(t)
-                    if len(e) and (cid := class_id(e)) not in seen and maybe(bits.value, cid):
+                    if len(e) and (cid := class_id(e)) not in seen:
                         seen.add(cid)
                         rows.append((cid, e.tobytes()))
                 if rows:
                     yield pd.DataFrame(rows, columns=["cid", "elements"])
 
-    sent = named.mapInPandas(run, "cid long, elements binary")
+    sent = some.select(text).mapInPandas(run, "cid long, elements binary")
     return sent.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("elements").alias("elements"))
 
 
-def maybe(bits: np.ndarray, cid: int) -> bool:
-    at = xxhash64_long(cid) % (len(bits) * 64)
-    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
-
-
-def xxhash64_long(value: int, seed: int = 42) -> int:
-    """Spark's xxhash64 of one long."""
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed=seed)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     """Rows (a, b, linked) of pairs (a, b) of classes, judged on their whole sets."""
     num, den = measure.num, measure.den
@@ -316,11 +298,14 @@ def relabelled(prefix: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.join(split, "sig", "left_semi")
 
 
-def rare_pairs(unresolved: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
+def rare_pairs(unresolved: DataFrame, sets: DataFrame, measure: Measure, hot: int = 32) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest elements.
 
     Elements are counted among the unresolved sets; those of one component alone, and all but
-    a set's first n - ceil(num n / den) + 1 in the order of rarity, are left out.
+    a set's first n - ceil(num n / den) + 1 in the order of rarity, are left out.  Two sets
+    that link and share no element of fewer than ``hot`` sets must have as many elements of
+    ``hot`` sets or more, each, as they need in common; elsewhere such elements are left out.
+    So an element that a large group shares joins only what consists of such elements.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,12 +318,13 @@ def rare_pairs(unresolved: DataFrame, sets: DataFrame, measure: Measure) -> Data
 
     each = unresolved.join(sets, "cid").select("cid", "n", "root", "elements").mapInPandas(spread, "e long, cid long, n int, root long")
     seen = each.groupBy("e").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    order = Window.partitionBy("cid").orderBy("c", "e")
-    first = each.join(seen, "e").withColumn("i", F.row_number().over(order))
-    first = first.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * measure.num / measure.den) + 1).where("r1 != r2")
-    first = first.select("e", "cid", "n", "root").checkpoint()
-    other = first.select("e", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    apart = first.join(other, "e").where("cid < c2 and root != root2")
+    by, num, den = Window.partitionBy("cid"), measure.num, measure.den
+    first = each.join(seen, "e").withColumn("i", F.row_number().over(by.orderBy("c", "e"))).withColumn("h", F.count_if(F.col("c") >= hot).over(by))
+    first = first.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("r1 != r2")
+    first = first.where((F.col("c") < hot) | (F.col("h") * den >= F.col("n") * num)).select("e", "c", "cid", "n", "root", "h").checkpoint()
+    other = first.select("e", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("h").alias("h2"))
+    enough = (F.col("c") < hot) | (F.least("h", "h2") * (num + den) >= (F.col("n") + F.col("n2")) * num)
+    apart = first.join(other, "e").where("cid < c2 and root != root2").where(enough)
     return comparable(apart, "n", "n2", measure).select(F.col("cid").alias("a"), F.col("c2").alias("b")).distinct()
 
 
@@ -354,7 +340,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", me
     packed = emit(docs, text, measure, chosen, max(8, math.ceil(total / signatures_a_bucket)))
     prefix = rarest(shared(packed), measure, chosen).checkpoint()
     members = prefix.select("cid").distinct()
-    sets = sets_of(docs, text, measure, members).checkpoint()
+    sets = sets_of(docs, key, text, measure, named, members).checkpoint()
 
     judged = verified(star_pairs(prefix, measure, 1), sets, measure).checkpoint()
     roots = connected_components(judged.where("linked"))

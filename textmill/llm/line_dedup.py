@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .common import bloom, maybe
 
 ADDED = ("n_lines", "n_dropped", "n_left")
 FIELD = "<*>"
@@ -57,27 +58,14 @@ def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFra
     return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf"))
 
 
-def bit_of(column: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit(3)), F.lit(bits))
-
-
-def bloom(hashes: DataFrame, column: str, bits: int) -> DataFrame:
-    """One row: an array of ``bits`` bits in longs, one set for every hash; its size is fixed."""
-    at = hashes.select(bit_of(F.col(column), bits).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("b"))
-    every = hashes.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("words"))
-
-
 def templates(lines: DataFrame, similarity: float, bits: int) -> DataFrame:
     """Rows (line_hash, first) of every line of a recurring template; first is its first document."""
     who = F.struct("__key", "__id")
     spread = lines.groupBy("leaf").agg(F.min(who).alias("first"), F.max(who).alias("last"))
     recurring = spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("leaf").checkpoint()
     # Most lines of other leaves stay where they are; the join settles the rest.
-    words, at = bloom(recurring, "leaf", bits).scalar(), bit_of(F.col("leaf"), bits)
-    maybe = F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
-    inside = lines.where(maybe).join(recurring.hint("shuffle_hash"), "leaf")
+    words = bloom(recurring, "leaf", bits).scalar()
+    inside = lines.where(maybe(words, F.col("leaf"), bits)).join(recurring.hint("shuffle_hash"), "leaf")
     # A hash of the leaf, so that equal lines are combined before they are dealt out anew.
     distinct = (
         inside.select(F.xxhash64(F.col("leaf"), F.lit(1)).alias("leaf2"), "masked", F.xxhash64("leaf", "masked").alias("line_hash"), who.alias("who"))

@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rows_a_partition: int = 200_000) -> DataFrame:
     """Rows (node, root) of every node with an edge; root is the least node of its component.
 
     Each round points neighbours at the least node near them; edges stay as many as nodes and
-    links, no neighbourhood is ever collected, and each round is cut by a checkpoint.
+    links, no neighbourhood is ever collected, and each round is cut by a checkpoint, whose
+    partitions are put together by the number of its rows.  Rounds end when all edges lead
+    to roots, which have no edge onwards.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
-    before = None
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).checkpoint()
     while True:
+        e = e.coalesce(max(1, min(e.rdd.getNumPartitions(), -(-e.count() // rows_a_partition))))
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        large = both.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        large = large.where("u > v").distinct().checkpoint()
+        large = large.coalesce(max(1, min(large.rdd.getNumPartitions(), -(-large.count() // rows_a_partition))))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = small.where("u != v").distinct().checkpoint()
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        onward = e.select(F.col("v").alias("n"), F.lit(1).alias("root"), F.lit(0).alias("own")).union(e.select(F.col("u"), F.lit(0), F.lit(1)))
+        open_ = onward.groupBy("n").agg(F.max("root").alias("root"), F.sum("own").alias("own")).where("own > 1 or (own > 0 and root > 0)")
+        if open_.isEmpty():
             break
-        before = tuple(state)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())

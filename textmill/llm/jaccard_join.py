@@ -22,9 +22,8 @@ most H = floor(n / 3) elements, as seen from either of sizes n (in general n (de
    the H + 1 rarest suffice on both sides (one order for all sets), and those that only it
    has come first; a set with H + 1 of these has no partner and is done.  (Schemes with
    deletions use all signatures instead.)
-6. *Verification.*  Candidates are linked to the least of those that share a signature and
-   verified on the whole sets; then in a second round by another order.  What still shares a
-   signature across components is settled by its elements: of n, ordered by how many of these
+6. *Verification.*  Candidates are linked to the least, by a hash, of those that share a
+   signature and verified on the whole sets.  What still shares a signature across components is settled by its elements: of n, ordered by how many of these
    sets have them, two that link share one of the n - ceil(num n / den) + 1 rarest, and only
    pairs that do are verified.  So components are exact, while a group of near copies takes a
    few pairs a member, and sets that differ from the group in what is their own take none.
@@ -344,14 +343,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", me
 
     judged = verified(star_pairs(prefix, measure, 1), sets, measure).checkpoint()
     roots = connected_components(judged.where("linked"))
-    rest = relabelled(prefix, roots).checkpoint()
+    rest = relabelled(prefix, roots).select("cid", "n", "root").distinct().checkpoint()
     if not rest.isEmpty():
-        known = judged.select("a", "b")
-        again = verified(star_pairs(rest.drop("root"), measure, 2).join(known, ["a", "b"], "left_anti"), sets, measure).checkpoint()
-        judged = judged.union(again)
-        roots = connected_components(judged.where("linked"))
-        rest = relabelled(rest.drop("root"), roots).checkpoint()
-        apart = rare_pairs(rest.select("cid", "n", "root").distinct(), sets, measure)
+        apart = rare_pairs(rest, sets, measure)
         final = verified(apart.join(judged.select("a", "b"), ["a", "b"], "left_anti"), sets, measure).checkpoint()
         roots = connected_components(judged.union(final).where("linked"))
     return with_ids(named, roots, key)

@@ -98,7 +98,7 @@ def impute(df: DataFrame, column: str, strategy: str = "mean", fill: float | Non
     return out.withColumn(column, F.coalesce(x, value.cast("double"), F.lit(0.0)))
 
 
-def sentinels_to_null(c: Column) -> Column:
+def missing_marks_to_null(c: Column) -> Column:
     """Strings that stand for missing values become null."""
     return F.when(~F.trim(c).isin("-999", "-9999", "999", "N/A", "NA", "n/a", ""), F.trim(c))
 

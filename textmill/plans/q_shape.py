@@ -428,13 +428,13 @@ def sc20(spark, d):
     return tables.date_parts(read(spark, d, "orders").select("o_orderkey", s.alias("s")), "s")
 
 
-@register("sc23_sentinels", "SELECT doc_id, CASE WHEN trim(s) NOT IN ('-999','-9999','999','N/A','NA','n/a','') THEN trim(s) END AS s FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' N/A ' WHEN 1 THEN '-999' WHEN 2 THEN ' ok' ELSE source END AS s FROM documents)")
+@register("sc23_missing_marks", "SELECT doc_id, CASE WHEN trim(s) NOT IN ('-999','-9999','999','N/A','NA','n/a','') THEN trim(s) END AS s FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' N/A ' WHEN 1 THEN '-999' WHEN 2 THEN ' ok' ELSE source END AS s FROM documents)")
 def sc23(spark, d):
     from ..operators import features
 
     i = F.col("doc_id") % 4
     s = F.when(i == 0, " N/A ").when(i == 1, "-999").when(i == 2, " ok").otherwise(F.col("source"))
-    return read(spark, d, "documents").select("doc_id", features.sentinels_to_null(s).alias("s"))
+    return read(spark, d, "documents").select("doc_id", features.missing_marks_to_null(s).alias("s"))
 
 
 @register("sc24_ratio_log", "SELECT l_orderkey, l_linenumber, round(l_tax / (l_discount + 1e-8), 2) AS ratio, round(ln(1 + greatest(l_extendedprice - 30000, 0)), 6) AS logged FROM lineitem")

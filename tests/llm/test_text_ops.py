@@ -133,6 +133,26 @@ def test_lines_odd_rows(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_and_other_white_space(spark):
+    own = [" ".join(w + x for w in "words of a line that no other document has".split()) for x in "abc"]
+    dense, thai = "\u6b22\u8fce\u6765\u5230\u6211\u4eec\u7684\u7f51\u7ad9", "\u0e22\u0e34\u0e19\u0e14\u0e35\u0e15\u0e49\u0e2d\u0e19\u0e23\u0e31\u0e1a"
+    same = ["All rights reserved.", "Menu", dense, thai, "one\ttab parts\u00a0all of these"]
+    rows = [(i, "\n".join([own[i], *same, "", f"Chapter {i}", ""])) for i in range(3)]
+    rows[2] = (2, rows[2][1].replace("\t", "  ").replace("\u00a0", "\t").replace(dense, dense[:4] + "\u4f60" + dense[5:]))
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1).collect()}
+    assert out[0]["text"] == rows[0][1] and out[0]["n_left"] == 7
+    for i in (1, 2):
+        assert out[i]["text"] == f"{own[i]}\n\nChapter {i}\n" and (out[i]["n_dropped"], out[i]["n_left"]) == (5, 2)
+
+
+def test_query_drops_short_repeats(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, min_tokens=1).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    assert sorted(map(tuple, queries.op4_line_dedup(spark, sf).select("doc_id", "text_sha256").collect())) == sorted(map(tuple, kept.collect()))
+    lines = line_dedup.dedup_lines(docs, min_tokens=1).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) != ''")
+    assert lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").count() == 0
+
+
 # ---------------------------------------------------------------- url filters
 
 

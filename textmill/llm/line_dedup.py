@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
-A line's tokens are its parts between single blanks, outer blanks aside; a token with a digit
+A line's tokens are its parts between white space; each character of a script that is written
+without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a token.  A token with a digit
 is a variable field and reads ``<*>``.  The tree has a level for the number of tokens and one
 for each of the ``depth`` leading tokens; a leaf's lines are alike in those.  A leaf's
 template has, at each position, the token that more than half of the leaf's distinct lines
@@ -9,7 +10,9 @@ to the template's; any other line is a template of its own.
 
 A template recurs if lines of it are in more than one document.  Its lines are dropped from
 all documents but the first (smallest key), which keeps them, so that no text is lost from
-the collection.  Lines of fewer than ``min_tokens`` tokens are left alone.
+the collection.  Lines of fewer than ``alike_from`` tokens are too short to be told apart by
+shares of equal tokens: each is a template as it stands, digits included, so only exact repeats
+of it are dropped.  Blank lines and those of fewer than ``min_tokens`` tokens are left alone.
 
 Lines are moved as hashes, but for those whose leaf is in several documents, which a bit array
 of fixed size (``bits``) tells from most others before the shuffle.  Equal lines of a leaf are
@@ -34,6 +37,20 @@ ADDED = ("n_lines", "n_dropped", "n_left")
 FIELD = "<*>"
 
 
+#: White space but line feeds, and letters of scripts without blanks between words.
+_SPACE = r"\t\x0B-\r\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+
+
+def spaced(text: Column) -> Column:
+    """The text with one blank between any two tokens of a line; its line feeds stay."""
+    # Searches for single bytes are far cheaper than expressions, which only texts beyond ASCII need.
+    odd = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{_SPACE}{_DENSE}]")
+    for part in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = F.contains(text, F.lit(part)) | odd
+    return F.when(odd, F.regexp_replace(F.regexp_replace(text, f"([{_DENSE}])", " $1 "), f"[ {_SPACE}]+", " ")).otherwise(text)
+
+
 def masked_line(line: Column) -> Column:
     """The line with its variable fields generalised."""
     line = F.trim(line)
@@ -41,8 +58,9 @@ def masked_line(line: Column) -> Column:
 
 
 def n_tokens(line: Column) -> Column:
+    """Tokens of a spaced line."""
     line = F.trim(line)
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def placed(masked: Column) -> Column:
@@ -50,11 +68,13 @@ def placed(masked: Column) -> Column:
     return F.transform(F.split(masked, " "), lambda t, i: F.concat(i.cast("string"), F.lit(" "), t))
 
 
-def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int) -> DataFrame:
+def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int, alike_from: int) -> DataFrame:
     """Rows (__key, __id, line_no, masked, leaf) of the lines that the tree holds."""
-    lines = docs.select("__key", "__id", F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= min_tokens).withColumn("masked", masked_line(F.col("line")))
-    leaf = F.xxhash64("n", F.substring_index("masked", " ", depth))
+    lines = docs.select("__key", "__id", F.posexplode(F.split(spaced(F.col(text)), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= max(1, min_tokens))
+    short = F.col("n") < alike_from
+    lines = lines.withColumn("masked", F.when(short, F.trim("line")).otherwise(masked_line(F.col("line"))))
+    leaf = F.xxhash64("n", F.when(short, F.col("masked")).otherwise(F.substring_index("masked", " ", depth)))
     return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf"))
 
 
@@ -87,15 +107,16 @@ def templates(lines: DataFrame, similarity: float, bits: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.7, min_tokens: int = 5, bits: int = 1 << 23
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.7, min_tokens: int = 5, bits: int = 1 << 23,
+    alike_from: int = 5,
+) -> DataFrame:
     """All rows; ``text`` without the dropped lines, then n_lines, n_dropped and n_left.
 
-    n_left counts the lines left that have ``min_tokens`` tokens or more.
+    n_left counts the lines left that have ``min_tokens`` tokens or more; with 1, all but blank ones.
     """
     docs = docs.drop(*ADDED)
     named = docs.withColumn("__key", F.col(key)).withColumn("__id", F.xxhash64(F.lit(7), F.col(text)))
-    lines = lines_of(named.select("__key", "__id", text), text, depth, min_tokens)
+    lines = lines_of(named.select("__key", "__id", text), text, depth, min_tokens, alike_from)
     ensure_checkpoint_dir(docs.sparkSession)
     found = templates(lines, similarity, bits)
     slim = lines.select("__key", "__id", "line_no", F.xxhash64("leaf", "masked").alias("line_hash"))
@@ -106,7 +127,7 @@ def dedup_lines(
     joined = named.join(drops.hint("shuffle_hash"), same, "left")
     parts = F.split(F.col(text), "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__drop"), i))
-    left = F.filter(F.col("__kept"), lambda line: n_tokens(line) >= min_tokens)
+    left = F.filter(F.col("__kept"), lambda line: line.rlike(r"(?U)\S") if min_tokens <= 1 else n_tokens(spaced(line)) >= min_tokens)
     joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), parts).otherwise(kept))
     out = {c: F.col(c) for c in docs.columns}
     out[text] = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))

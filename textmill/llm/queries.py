@@ -38,7 +38,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, min_tokens=1)
     return out.select("doc_id", "n_lines", "n_dropped", "n_left", F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 

@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; those of which only scraps are left go."""
-    out = line_dedup.dedup_lines(docs).where("n_dropped = 0 OR n_left > 0")
+    """Documents without lines of recurring templates; those of which only blank lines are left go."""
+    out = line_dedup.dedup_lines(docs, min_tokens=1).where("n_dropped = 0 OR n_left > 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -73,6 +73,14 @@ def test_line_stage_drops_repeated_passages(spark, sf):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
 
 
+def test_line_stage_keeps_documents_of_short_lines(spark, sf):
+    passage = "every document of these has the same long line at its end"
+    verse = [f"{w}\nand {w}a\n\nnot {w}b" for w in ("one", "two", "three")]
+    docs = frame(spark, [(i, v + "\n" + passage) for i, v in enumerate(verse)] + [(7, passage + "\n \t\n")])
+    out = {r["doc_id"]: r["text"] for r in stage("line_dedup")(spark, docs, sf).collect()}
+    assert out == {0: verse[0] + "\n" + passage, 1: verse[1], 2: verse[2]}
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark, sf):
     rows = [(i, document(i, 60)) for i in range(8)]
     copies = [(100 + i, t) for i, t in rows[:4]] + [(200 + i, t.replace(t.split()[5], "changed", 1)) for i, t in rows[:4]]

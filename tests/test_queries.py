@@ -55,3 +55,10 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_nulls_come_last_in_the_whole_table(spark, sf):
+    x = [r["x"] for r in QUERIES["sl01_nulls_last_all"](spark, sf).collect()]
+    values = [v for v in x if v is not None]
+    assert len(x) == spark.read.parquet(f"{sf}/lineitem.parquet").count() and len(values) < len(x)
+    assert x == sorted(values, reverse=True) + [None] * (len(x) - len(values))

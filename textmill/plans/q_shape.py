@@ -289,6 +289,13 @@ def sl01(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x).orderBy(F.col("x").desc_nulls_last(), "l_orderkey", "l_linenumber").limit(100)
 
 
+@register("sl01_nulls_last_all", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS x FROM lineitem ORDER BY x DESC NULLS LAST, l_orderkey, l_linenumber")
+def sl01_all(spark, d):
+    """The whole sorted table; sl01_nulls_last gives its first 100 rows."""
+    x = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("x")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x).orderBy(F.col("x").desc_nulls_last(), "l_orderkey", "l_linenumber")
+
+
 @register("sl03_top_per_group", "SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
 def sl03(spark, d):
     top = ranking.top_per_group(read(spark, d, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm import jaccard_join as jj
 from textmill.llm import queries
-from textmill.llm.common import bloom, maybe
+from textmill.llm.common import bloom, maybe, table
 from textmill.llm.components import connected_components
 
 
@@ -72,6 +72,7 @@ def test_near_copies_equal_brute_force(spark, seed):
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(jj.link_components(df, signatures_a_bucket=200)) == brute(rows)
+    assert got(jj.link_components(df, signatures_a_bucket=200, most=2)) == brute(rows)
 
 
 def test_odd_rows(spark, odd, empty):
@@ -101,8 +102,9 @@ def test_signatures_outlast_differences():
             k = min(shared)
             for option in range(len(jj.OPTIONS)):
                 bits, share = measure.segments(k, option)
-                if all(jj.gain_and_cost(s, bits, share)[0] > measure.most_differences(len(s)) for s in (a, b)):
-                    x, y = (set(jj.signatures(s, k, bits, share)[0].tolist()) for s in (a, b))
+                most = {len(s): measure.most_differences(len(s)) for s in (a, b)}
+                if all(jj.gain_and_cost(s, bits, share, most[len(s)])[0] > most[len(s)] for s in (a, b)):
+                    x, y = (set(jj.signatures(s, k, bits, share, most[len(s)])[0].tolist()) for s in (a, b))
                     assert x & y
 
 
@@ -125,3 +127,42 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {found[i] for i in range(31)} == {0} and {found[i] for i in range(100, 130)} == {100}
+
+
+def near_group(random, copies, words=120, edits=40):
+    """Copies of one text, each with up to ``edits`` random edits, and copies of some of these."""
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(copies):
+        copy = list(out[int(random.integers(0, len(out)))].split() if out and i % 5 == 0 else base)
+        for _ in range(int(random.integers(0, edits if i % 3 else 4))):
+            at = int(random.integers(0, len(copy)))
+            how = random.integers(0, 3)
+            copy[at : at + (how != 1)] = [f"e{random.integers(0, 100_000)}"] if how != 2 else []
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("most", [4, 64])
+def test_large_group_of_near_copies_equals_brute_force(spark, most):
+    random = np.random.default_rng(11)
+    rows = list(enumerate(near_group(random, 500)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(jj.link_components(df, most=most, signatures_a_bucket=2000)) == brute(rows)
+
+
+def test_deletions_are_chosen(spark, sf_mid):
+    """On the documents, deletions for the few short sets are cheaper than twice the segments for all, in some bands."""
+    described = jj.describe(table(spark, sf_mid, "documents"), "doc_id", "text", jj.Measure())
+    chosen, _ = jj.allocate(described, jj.Measure())
+    assert any(jj.OPTIONS[o][1] > 0 for o in chosen.values())
+
+
+def test_deletions_alone_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jj, "OPTIONS", [(0, 0.5), (0, 1.0), (24, 1.0)])
+    random = np.random.default_rng(6)
+    rows = list(enumerate(near_group(random, 60) + near_group(random, 30, words=40, edits=8)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen, _ = jj.allocate(jj.describe(df, "doc_id", "text", jj.Measure()), jj.Measure())
+    assert all(jj.OPTIONS[o][1] > 0 for o in chosen.values())
+    assert got(jj.link_components(df)) == brute(rows)

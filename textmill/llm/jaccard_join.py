@@ -11,22 +11,31 @@ most H = floor(n / 3) elements, as seen from either of sizes n (in general n (de
    it is within den / num of that band's end, so any two that can link meet in a scheme.  A
    set's subset in a segment has a signature.  H differences spoil at most H segments, so a
    set with more than H non-empty segments shares the signature of one of them.
-3. *One-deletion neighbourhoods.*  In a share of its segments a scheme may also index every
-   subset less one element.  There a single difference does not spoil a segment with two
-   elements or more: it counts twice.
+3. *One-deletion neighbourhoods.*  A set with H non-empty segments or fewer is short.  In a
+   share of its segments a scheme also indexes every subset less one element of a short set;
+   there a single difference does not spoil a segment with two elements or more: it counts
+   twice.  Other sets need none, since one side's unspoiled segment is enough for both.
 4. *Cost-based allocation.*  For every band, the numbers of segments and the shares of
    segments with deletions are tried on all sets; of those that give every set more than H,
    the one with the fewest signatures in all is used.  With as many segments as it takes,
    every set has more than H, so there always is one.
 5. *Rarest first.*  Signatures are counted in hash buckets.  Of a set's non-empty segments,
    the H + 1 rarest suffice on both sides (one order for all sets), and those that only it
-   has come first; a set with H + 1 of these has no partner and is done.  (Schemes with
-   deletions use all signatures instead.)
-6. *Verification.*  Candidates are linked to the least, by a hash, of those that share a
-   signature and verified on the whole sets.  What still shares a signature across components is settled by its elements: of n, ordered by how many of these
-   sets have them, two that link share one of the n - ceil(num n / den) + 1 rarest, and only
-   pairs that do are verified.  So components are exact, while a group of near copies takes a
-   few pairs a member, and sets that differ from the group in what is their own take none.
+   has come first; a set with H + 1 of these has no partner and is done.  Short sets use all.
+6. *Pivots.*  Candidates that share a signature are verified, on the whole sets, with the most
+   central of them: the one whose signatures are the most frequent.  In a group of near copies
+   that is the original or what is nearest to it.
+7. *Differences.*  What still shares a signature across components is partitioned again, by its
+   differences from its pivot q, with a segment for each element.  Let d be the size of x's symmetric difference with q and B = (n_x + n_y) (den - num) / (den + num),
+   the most that two sets that link may differ.  Then x and y link only if their differences
+   from q share (d_x + d_y - B) / 2 elements or more, and at least one, since one of them is not linked with
+   q.  So they share one among the rarest of each, and all of this is known of a pair before
+   it is made.  Elements of the original that a large group shares are in no difference, and
+   edits that only one copy has are in no signature that is shared.  So components are exact,
+   while a group of near copies takes a few pairs a member.
+
+A signature that many sets of a task have overflows: but for the first ``most``, its holders go to
+buckets of their own, by task, and learn its count later, so no bucket gets all of them.
 
 Shingles are compared by 64-bit hashes.
 
@@ -44,6 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +63,7 @@ from .components import connected_components
 
 _U = np.uint64
 #: What is tried for a scheme: doublings of its least number of segments, and the share of segments with deletions.
-OPTIONS = [(0, 0.0), (0, 0.25), (1, 0.0), (1, 0.25), (2, 0.0), (5, 0.0), (24, 0.0)]
+OPTIONS = [(0, 0.0), (0, 1 / 8), (0, 1 / 4), (0, 1 / 2), (0, 1.0), (1, 0.0), (1, 1 / 2), (1, 1.0), (2, 0.0), (5, 0.0), (24, 0.0)]
 
 
 class Measure:
@@ -93,21 +103,25 @@ def runs(elements: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return segment[begin], begin, np.diff(np.append(begin, len(elements)))
 
 
-def gain_and_cost(elements: np.ndarray, bits: int, share: float) -> tuple[int, int]:
-    """How many differences the signatures outlast, plus one; and the number of signatures."""
-    segment, _, size = runs(elements, bits)
-    wide = size[(size > 1) & (segment < _U(int(share * (1 << bits))))] if share else size[:0]
+def gain_and_cost(elements: np.ndarray, bits: int, share: float, most: int, known: dict | None = None) -> tuple[int, int]:
+    """How many differences the signatures outlast, plus one; and the number of signatures.
+
+    ``most`` is the number of differences to outlast; ``known`` keeps segments between calls.
+    """
+    known = {} if known is None else known
+    segment, _, size = known[bits] if bits in known else known.setdefault(bits, runs(elements, bits))
+    wide = size[(size > 1) & (segment < _U(int(share * (1 << bits))))] if share and len(size) <= most else size[:0]
     return len(size) + len(wide), len(size) + int(wide.sum())
 
 
-def signatures(elements: np.ndarray, k: int, bits: int, share: float) -> tuple[np.ndarray, int]:
+def signatures(elements: np.ndarray, k: int, bits: int, share: float, most: int) -> tuple[np.ndarray, int]:
     """64-bit signatures of the non-empty segments, deletions last, and the number of those segments."""
     segment, begin, size = runs(elements, bits)
     value = mixed(elements ^ _U(0x5851F42D4C957F2D))
     total = np.add.reduceat(value, begin)
     tag = segment * _U(0x9E3779B97F4A7C15) + _U(k)
     out = mixed(total + mixed(tag))
-    if share:
+    if share and len(begin) <= most:
         wide = np.repeat((size > 1) & (segment < _U(int(share * (1 << bits)))), size)
         less = (np.repeat(total, size) - value)[wide]
         out = np.concatenate([out, mixed(less + mixed(np.repeat(tag, size)[wide]))])
@@ -130,9 +144,10 @@ def describe(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFram
                         if len(seen) > 100_000:
                             seen.clear()
                         bands = measure.bands(len(e))
-                        tried = [gain_and_cost(e, *measure.segments(k, o)) for k in bands for o in range(len(OPTIONS))]
-                        margin = measure.most_differences(len(e)) + 1
-                        seen[cid] = (len(e), cid, bands, [g - margin for g, _ in tried], [c for _, c in tried])
+                        known: dict = {}
+                        most = measure.most_differences(len(e))
+                        tried = [gain_and_cost(e, *measure.segments(k, o), most, known) for k in bands for o in range(len(OPTIONS))]
+                        seen[cid] = (len(e), cid, bands, [g - most - 1 for g, _ in tried], [c for _, c in tried])
                     rows.append(seen[cid])
                 frame = pd.DataFrame(rows, columns=["n", "cid", "bands", "gains", "costs"])
                 frame.insert(0, key, piece[key].to_numpy())
@@ -158,11 +173,98 @@ def allocate(described: DataFrame, measure: Measure) -> tuple[dict[int, int], in
     return chosen, total
 
 
-def emit(docs: DataFrame, text: str, measure: Measure, chosen: dict[int, int], buckets: int) -> DataFrame:
-    """Rows (bucket, cids, meta, counts, keys): packed signatures, equal sets of a task once."""
+class Packer:
+    """Packs the signatures of units (tuples of longs) by bucket, for one task.
+
+    Rows are (bucket, part, who, counts, keys).  Part 0 has the first ``most`` units of a slice for a signature;
+    from then on the task sends its units to a part of its own.
+    """
+
+    schema = "bucket long, part long, who binary, counts binary, keys binary"
+
+    def __init__(self, buckets: int, most: int):
+        self.buckets, self.most, self.hot = buckets, most, np.zeros(0, dtype=np.uint64)
+        self.part = 1 + TaskContext.get().partitionId()
+
+    def late(self, sig: np.ndarray) -> np.ndarray:
+        """Indices of signatures beyond the first ``most`` of their kind, or of a kind that was beyond before."""
+        bin_ = (sig & _U(0xFFFFF)).astype(np.int64)
+        full = np.bincount(bin_, minlength=1 << 20) > self.most
+        full[(self.hot & _U(0xFFFFF)).astype(np.int64)] = True
+        some = np.flatnonzero(full[bin_])
+        if not len(some):
+            return some
+        some = some[np.argsort(sig[some], kind="stable")]
+        kind = sig[some]
+        begin = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        size = np.diff(np.append(begin, len(kind)))
+        first = np.where(np.isin(kind[begin], self.hot), 0, self.most)
+        self.hot = np.union1d(self.hot, kind[begin][size > self.most])
+        return some[np.arange(len(kind)) - np.repeat(begin, size) >= np.repeat(first, size)]
+
+    def pack(self, units: list[tuple], parts: list[np.ndarray]) -> pd.DataFrame:
+        sig = np.concatenate(parts)
+        unit = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        place = (sig & _U(0xFFFFFFFF)) % _U(self.buckets) << _U(1)
+        place[self.late(sig)] |= _U(1)
+        order = np.argsort(place.astype(np.uint16 if self.buckets < 1 << 15 else np.int64), kind="stable")
+        place, unit, key = place[order].astype(np.int64), unit[order], (sig >> _U(32)).astype(np.uint32)[order]
+        who = np.array(units, dtype=np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(sig) else [0]
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            begin = np.flatnonzero(np.concatenate(([True], unit[a + 1 : b] != unit[a : b - 1])))
+            count = np.diff(np.append(begin, b - a)).astype(np.int32)
+            rows.append((int(place[a]) >> 1, self.part * int(place[a] & 1), who[unit[a:b][begin]].tobytes(), count.tobytes(), key[a:b].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "part", "who", "counts", "keys"])
+
+
+def shared(packed: DataFrame, names: list[str], buckets: int, most: int, differ: str | None = None) -> DataFrame:
+    """Rows (*names, sig, freq) of the signatures that several units have; cut by a checkpoint.
+
+    With ``differ``, the units of a signature must not all have the same value of that column, which then is left out.
+    The count is that of part 0, which is one order for all; an overflowed signature has ``most`` there or more.
+    """
+    width, kept_names = len(names), [c for c in names if c != differ]
+    fields = ", ".join(f"{c} long" for c in kept_names) + ", sig long, freq long"
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        who = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, width) for x in group["who"]])
+        count = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in group["counts"]])
+        key = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["keys"]])
+        # A unit that several tasks sent becomes one again.
+        name = mixed(who.astype(np.uint64).dot(_PRIME[:width]))
+        _, first, same = np.unique(name, return_index=True, return_inverse=True)
+        both = np.unique(key.astype(np.uint64) << _U(32) | np.repeat(same.astype(np.uint64), count))
+        key, unit = (both >> _U(32)).astype(np.int64), first[(both & _U(0xFFFFFFFF)).astype(np.int64)]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        late = group["part"].iloc[0] > 0
+        kept = (size > 1) | late
+        if differ and not late:  # what overflows elsewhere has most holders here, and is kept
+            value = who[unit, names.index(differ)]
+            kept &= (np.minimum.reduceat(value, begin) != np.maximum.reduceat(value, begin)) | (size >= most)
+        many = np.repeat(kept, size)
+        out = pd.DataFrame(who[unit[many]], columns=names)[kept_names]
+        sig = (key[many].astype(np.uint64) << _U(32)) | _U(group["bucket"].iloc[0])
+        return out.assign(sig=sig.astype(np.int64), freq=0 if late else np.repeat(size, size)[many])
+
+    found = packed.repartition(buckets, "bucket", "part").groupBy("bucket", "part").applyInPandas(merge, fields).checkpoint()
+    late = found.where("freq = 0")
+    if late.isEmpty():
+        return found
+    hot = found.where(F.col("freq") >= most).groupBy("sig").agg(F.max("freq").alias("f"))
+    return found.where("freq > 0").union(late.drop("freq").distinct().join(hot, "sig").select(*kept_names, "sig", F.col("f").alias("freq"))).distinct()
+
+
+_PRIME = mixed(np.arange(1, 9, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
+
+
+def emit(docs: DataFrame, text: str, measure: Measure, chosen: dict[int, int], buckets: int, most: int) -> DataFrame:
+    """Packed signatures of the units (cid, k, n, filled); equal sets of a task once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen, packer = set(), Packer(buckets, most)
         for batch in batches:
             for piece in slices(batch, text, rows=2048, chars=8_000_000):
                 units, parts = [], []
@@ -173,63 +275,25 @@ def emit(docs: DataFrame, text: str, measure: Measure, chosen: dict[int, int], b
                         continue
                     seen.add(cid)
                     for k in bands:
-                        if k not in chosen:
-                            continue
-                        sig, filled = signatures(e, k, *measure.segments(k, chosen[k]))
-                        units.append((cid, k, len(e), filled))
-                        parts.append(sig)
-                if not parts:
-                    continue
-                sig = np.concatenate(parts)
-                unit = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                bucket = ((sig & _U(0xFFFFFFFF)) % _U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, unit, low = bucket[order], unit[order], (sig >> _U(32)).astype(np.uint32)[order]
-                cids = np.array([u[0] for u in units], dtype=np.int64)
-                meta = np.array([u[1:] for u in units], dtype=np.int32).reshape(-1, 3)
-                edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                rows = []
-                for a, b in zip(edges[:-1], edges[1:]):
-                    own, count = np.unique(unit[a:b], return_counts=True)
-                    rows.append((int(bucket[a]), cids[own].tobytes(), meta[own].tobytes(), count.astype(np.int32).tobytes(), low[a:b].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "cids", "meta", "counts", "keys"])
+                        if k in chosen:
+                            sig, filled = signatures(e, k, *measure.segments(k, chosen[k]), measure.most_differences(len(e)))
+                            units.append((cid, k, len(e), filled))
+                            parts.append(sig)
+                if parts:
+                    yield packer.pack(units, parts)
 
-    return docs.select(text).mapInPandas(run, "bucket long, cids binary, meta binary, counts binary, keys binary")
+    return docs.select(text).mapInPandas(run, Packer.schema)
 
 
-def shared(packed: DataFrame) -> DataFrame:
-    """Rows (cid, k, n, filled, sig, freq) of the signatures that several classes have."""
-    fields = "cid long, k int, n int, filled int, sig long, freq int"
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        cid = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in group["cids"]])
-        meta = np.concatenate([np.frombuffer(x, dtype=np.int32).reshape(-1, 3) for x in group["meta"]])
-        count = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in group["counts"]])
-        low = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group["keys"]])
-        # A class that several tasks sent becomes one unit again.
-        name = mixed(cid.astype(np.uint64)) ^ meta[:, 0].astype(np.uint64)
-        _, first, same = np.unique(name, return_index=True, return_inverse=True)
-        both = np.unique(low.astype(np.uint64) << _U(32) | np.repeat(same.astype(np.uint64), count))
-        low, unit = (both >> _U(32)).astype(np.int64), first[(both & _U(0xFFFFFFFF)).astype(np.int64)]
-        begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        freq = np.repeat(np.diff(np.append(begin, len(low))), np.diff(np.append(begin, len(low))))
-        many = freq > 1
-        unit, low, freq = unit[many], low[many], freq[many]
-        sig = np.int64(group["bucket"].iloc[0]) << 32 | low
-        return pd.DataFrame({"cid": cid[unit], "k": meta[unit, 0], "n": meta[unit, 1], "filled": meta[unit, 2], "sig": sig, "freq": freq.astype(np.int32)})
-
-    return packed.groupBy("bucket").applyInPandas(merge, fields)
-
-
-def rarest(found: DataFrame, measure: Measure, chosen: dict[int, int]) -> DataFrame:
-    """Rows (sig, cid, n) of the signatures through which a class needs to look for partners."""
-    listed = found.groupBy("cid", "k").agg(F.first("n").alias("n"), F.first("filled").alias("filled"), F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"))
+def rarest(found: DataFrame, measure: Measure) -> DataFrame:
+    """Rows (sig, cid, n, central) of the signatures through which a class needs to look for partners."""
+    central = F.sum(F.log2("freq")) / F.first("filled")  # a segment that no other class shares adds nothing
+    listed = found.groupBy("cid", "k").agg(F.first("n").alias("n"), F.first("filled").alias("filled"), F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"), central.alias("central"))
     own = F.col("filled") - F.size("sigs")  # segments that no other class shares come first
-    need = F.floor(F.col("n") * (measure.den - measure.num) / measure.num) + 1 - own
-    whole = [k for k, o in chosen.items() if OPTIONS[o][1] > 0]
-    need = F.when(F.col("k").isin(whole), F.size("sigs")).otherwise(need) if whole else need
+    outlast = F.floor(F.col("n") * (measure.den - measure.num) / measure.num)
+    need = F.when(F.col("filled") > outlast, outlast + 1 - own).otherwise(F.size("sigs"))
     listed = listed.withColumn("need", need.cast("int")).where("need > 0")
-    return listed.select("cid", "n", F.explode(F.slice("sigs", 1, F.greatest(F.lit(1), "need"))).alias("s")).select(F.col("s.sig").alias("sig"), "cid", "n")
+    return listed.select("cid", "n", "central", F.explode(F.slice("sigs", 1, F.greatest(F.lit(1), "need"))).alias("s")).select(F.col("s.sig").alias("sig"), "cid", "n", "central")
 
 
 def sets_of(docs: DataFrame, key: str, text: str, measure: Measure, named: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
@@ -260,29 +324,37 @@ def sets_of(docs: DataFrame, key: str, text: str, measure: Measure, named: DataF
 
 
 def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """Rows (a, b, linked) of pairs (a, b) of classes, judged on their whole sets."""
+    """Rows (a, b, d, linked) of pairs (a, b) of classes, judged on their whole sets, which differ in d elements."""
     num, den = measure.num, measure.den
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("ea")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("eb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            d, linked = [], []
             for x, y in zip(batch["ea"], batch["eb"]):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(p) + len(q) - len(np.union1d(p, q))
-                out.append(den * common >= num * (len(p) + len(q) - common))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": out})
+                both_ = np.sort(np.concatenate([p, q]))
+                common = int((both_[1:] == both_[:-1]).sum())
+                d.append(len(p) + len(q) - 2 * common)
+                linked.append(den * common >= num * (len(p) + len(q) - common))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "d": d, "linked": linked})
 
-    return both.select("a", "b", "ea", "eb").mapInPandas(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "ea", "eb").mapInPandas(run, "a long, b long, d long, linked boolean")
 
 
-def star_pairs(prefix: DataFrame, measure: Measure, seed: int) -> DataFrame:
-    """Pairs of each class with the least class, by a seeded order, that shares a signature with it."""
-    order = F.struct(F.xxhash64(F.col("cid"), F.lit(seed)).alias("h"), F.col("cid").alias("c"), F.col("n").alias("cn"))
-    pivots = prefix.groupBy("sig").agg(F.min(order).alias("p"), F.count("*").alias("m")).where("m > 1").select("sig", "p.c", "p.cn")
-    met = prefix.join(pivots, "sig").where("cid != c")
-    return comparable(met, "n", "cn", measure).select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+def with_pivots(prefix: DataFrame) -> DataFrame:
+    """Prefix rows with the pivot of the signature (order, pivot, pivot_n) and the class's top: its most central pivot."""
+    order = F.struct("central", F.col("cid").alias("pivot"), F.col("n").alias("pivot_n"))
+    pivots = prefix.groupBy("sig").agg(F.max(order).alias("p"), F.count("*").alias("m")).where("m > 1").select("sig", "p")
+    met = prefix.join(pivots, "sig")
+    top = met.groupBy("cid").agg(F.max("p").alias("t")).select("cid", F.col("t.pivot").alias("top"))
+    return met.select("sig", "cid", "n", "p.pivot", "p.pivot_n").join(top, "cid")
+
+
+def star_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class with the pivots of its signatures."""
+    return met.where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
 
 def comparable(df: DataFrame, n1: str, n2: str, measure: Measure) -> DataFrame:
@@ -290,44 +362,70 @@ def comparable(df: DataFrame, n1: str, n2: str, measure: Measure) -> DataFrame:
     return df.where(F.greatest(n1, n2) * measure.num <= F.least(n1, n2) * measure.den)
 
 
-def relabelled(prefix: DataFrame, roots: DataFrame) -> DataFrame:
-    """Prefix rows with the component so far, of signatures that still join several components."""
-    joined = prefix.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    split = joined.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("sig")
-    return joined.join(split, "sig", "left_semi")
-
+def unsettled(met: DataFrame, roots: DataFrame, judged: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Units (u, q, cid, n, d, root, apart): what signatures still join across components, with a pivot q for each.
 
-def rare_pairs(unresolved: DataFrame, sets: DataFrame, measure: Measure, hot: int = 32) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest elements.
-
-    Elements are counted among the unresolved sets; those of one component alone, and all but
-    a set's first n - ceil(num n / den) + 1 in the order of rarity, are left out.  Two sets
-    that link and share no element of fewer than ``hot`` sets must have as many elements of
-    ``hot`` sets or more, each, as they need in common; elsewhere such elements are left out.
-    So an element that a large group shares joins only what consists of such elements.
+    Classes of a signature that have the same top use that, others the signature's own pivot; either way all of
+    them have been compared with it, and differ from it in d elements.  ``apart`` says that the class isn't in the pivot's component.
     """
+    joined = met.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    by = joined.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("top").alias("t1"), F.max("top").alias("t2"), F.first("pivot").alias("pivot"))
+    by = by.where("r1 != r2").select("sig", F.when(F.col("t1") == F.col("t2"), F.col("t1")).otherwise(F.col("pivot")).alias("q")).checkpoint()
+    words = bloom(by, "sig", bits).scalar()  # keeps most settled signatures from being moved
+    rows = met.where(maybe(words, F.col("sig"), bits)).select("sig", "cid", "n").join(by, "sig").where("cid != q").select("q", "cid", "n").distinct()
+    rows = rows.withColumn("a", F.least("cid", "q")).withColumn("b", F.greatest("cid", "q")).join(judged.select("a", "b", "d"), ["a", "b"])
+    rows = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(roots.select(F.col("node").alias("q"), F.col("root").alias("q_root")), "q", "left")
+    root = F.coalesce("root", "cid")
+    return rows.select(F.xxhash64("cid", "q").alias("u"), "q", "cid", "n", "d", root.alias("root"), (root != F.coalesce("q_root", "q")).alias("apart"))
+
+
+def differences(units: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFrame:
+    """Packed signatures of the units (u, root): the elements that are in one of cid and q."""
+    pivots = sets.join(units.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("q"), F.col("elements").alias("eq"))
+    both = units.select("u", "root", "cid", "q").join(sets, "cid").join(pivots, "q")
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = Packer(buckets, most)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                found = [np.frombuffer(x, dtype=np.int64) for x in part["elements"]]
-                size = [len(f) for f in found]
-                yield pd.DataFrame({"e": np.concatenate(found), **{c: np.repeat(part[c].to_numpy(), size) for c in ("cid", "n", "root")}})
-
-    each = unresolved.join(sets, "cid").select("cid", "n", "root", "elements").mapInPandas(spread, "e long, cid long, n int, root long")
-    seen = each.groupBy("e").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-    by, num, den = Window.partitionBy("cid"), measure.num, measure.den
-    first = each.join(seen, "e").withColumn("i", F.row_number().over(by.orderBy("c", "e"))).withColumn("h", F.count_if(F.col("c") >= hot).over(by))
-    first = first.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("r1 != r2")
-    first = first.where((F.col("c") < hot) | (F.col("h") * den >= F.col("n") * num)).select("e", "c", "cid", "n", "root", "h").checkpoint()
-    other = first.select("e", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("h").alias("h2"))
-    enough = (F.col("c") < hot) | (F.least("h", "h2") * (num + den) >= (F.col("n") + F.col("n2")) * num)
-    apart = first.join(other, "e").where("cid < c2 and root != root2").where(enough)
-    return comparable(apart, "n", "n2", measure).select(F.col("cid").alias("a"), F.col("c2").alias("b")).distinct()
-
-
-def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure | None = None, signatures_a_bucket: int = 1_500_000) -> DataFrame:
+            for at in range(0, len(batch), 1024):
+                names, parts = [], []
+                for r in batch.iloc[at : at + 1024].itertuples():
+                    e = np.setxor1d(np.frombuffer(r.elements, dtype=np.uint64), np.frombuffer(r.eq, dtype=np.uint64), assume_unique=True)
+                    names.append((r.u, r.root))
+                    parts.append(mixed(e + mixed(np.array([r.q], dtype=np.int64).astype(np.uint64))))
+                yield packer.pack(names, parts)
+
+    return both.select("u", "root", "q", "elements", "eq").mapInPandas(run, Packer.schema)
+
+
+def settling_pairs(found: DataFrame, units: DataFrame, measure: Measure) -> DataFrame:
+    """Pairs (a, b) of different components whose differences from a pivot may share enough.
+
+    Of d differences, c are shared with other components.  A pair shares c at most, so one side's d less the
+    other's 2c - d is at most ``bound`` of both sizes.
+    """
+    most_apart = F.lit((measure.den - measure.num) / (measure.den + measure.num) + 1e-9)
+    counted = units.join(found.groupBy("u").agg(F.count("*").alias("c")), "u").withColumn("gain", 2 * F.col("c") - F.col("d"))
+    least_apart = F.min(F.when(F.col("apart"), F.col("d")))
+    groups = counted.groupBy("q").agg(F.max("gain").alias("most_gain"), F.max("n").alias("most_n"), F.min("d").alias("least_d"), least_apart.alias("least_apart"))
+    counted = counted.join(groups, "q")
+    bound = (F.col("n") + F.least(F.col("most_n"), F.col("n") * F.lit(measure.den / measure.num))) * most_apart
+    seeks = F.col("apart") & (F.col("d") - F.col("most_gain") <= bound)
+    sought = F.col("least_apart") - F.col("gain") <= bound
+    need = F.greatest(F.lit(1.0), (F.col("d") + F.greatest(F.col("least_d"), F.col("d") - bound) - bound) / 2)
+    counted = counted.where((seeks | sought) & (F.col("c") >= need)).select("u", "cid", "n", "root", "d", "c", need.alias("need"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("freq", "sig"))
+    rows = found.join(counted, "u").withColumn("i", rank - 1 + F.col("d") - F.col("c")).where(F.col("d") - F.col("i") >= F.col("need"))
+    rows = rows.select("sig", "cid", "n", "root", "d", "c", "i").checkpoint()
+    other = rows.select("sig", *(F.col(c).alias(f"{c}2") for c in ("cid", "n", "root", "d", "c", "i")))
+    enough = F.greatest(F.lit(1.0), (F.col("d") + F.col("d2") - (F.col("n") + F.col("n2")) * most_apart) / 2)
+    met = rows.join(other, "sig").where("cid < cid2 and root != root2").where(F.least(F.col("d") - F.col("i"), F.col("d2") - F.col("i2"), "c", "c2") >= enough)
+    return comparable(met, "n", "n2", measure).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+
+
+def link_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure | None = None, signatures_a_bucket: int = 1_500_000, most: int = 64
+) -> DataFrame:
     """Rows (key, n_shingles, component_id); component_id is the least key of those reachable by links."""
     measure = measure or Measure()
     ensure_checkpoint_dir(docs.sparkSession)
@@ -336,17 +434,20 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", me
     chosen, total = allocate(described, measure)
     if not chosen:
         return with_ids(named, None, key)
-    packed = emit(docs, text, measure, chosen, max(8, math.ceil(total / signatures_a_bucket)))
-    prefix = rarest(shared(packed), measure, chosen).checkpoint()
-    members = prefix.select("cid").distinct()
-    sets = sets_of(docs, key, text, measure, named, members).checkpoint()
+    buckets = max(8, math.ceil(total / signatures_a_bucket))
+    found = shared(emit(docs, text, measure, chosen, buckets, most), ["cid", "k", "n", "filled"], buckets, most)
+    prefix = rarest(found, measure).checkpoint()
+    sets = sets_of(docs, key, text, measure, named, prefix.select("cid").distinct()).checkpoint()
 
-    judged = verified(star_pairs(prefix, measure, 1), sets, measure).checkpoint()
+    met = with_pivots(prefix).checkpoint()
+    judged = verified(star_pairs(met), sets, measure).checkpoint()
     roots = connected_components(judged.where("linked"))
-    rest = relabelled(prefix, roots).select("cid", "n", "root").distinct().checkpoint()
-    if not rest.isEmpty():
-        apart = rare_pairs(rest, sets, measure)
-        final = verified(apart.join(judged.select("a", "b"), ["a", "b"], "left_anti"), sets, measure).checkpoint()
+    units = unsettled(met, roots, judged).checkpoint()
+    if not units.isEmpty():
+        buckets = max(8, math.ceil(units.agg(F.sum("d")).first()[0] / signatures_a_bucket))
+        apart = shared(differences(units, sets, buckets, most), ["u", "root"], buckets, most, differ="root")
+        pairs = settling_pairs(apart, units, measure).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        final = verified(pairs, sets, measure).checkpoint()
         roots = connected_components(judged.union(final).where("linked"))
     return with_ids(named, roots, key)
 

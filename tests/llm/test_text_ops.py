@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -69,9 +70,37 @@ def test_mix_stays_within_a_block(spark, sf_mid):
         assert np.abs(had / 2 - np.arange(1, len(had) + 1) * q / 100).max() < 1
 
 
+@pytest.mark.parametrize("weights", [{"a": 4.0, "b": 2.0, "c": 2.0, "d": 0.5, "e": 1.0}, {"a": 1.0, "b": 1e-5, "c": 0.3}, {"a": 0.1234567, "b": 7.0, "c": 3.3333}])
+def test_blocks_stay_within_one_of_the_targets(weights):
+    """100,000 blocks and more, against the weights as given; a source of weight 1e-5 has about one of them."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    total, blocks = sum(exact.values()), 60_000
+    phase = mixing.phases({s: math.ceil(blocks * w / min(1, total)) + 9 for s, w in exact.items()}, exact, None, 1_000_000)[0]
+    slots, names = phase["length"], list(exact)
+    order = np.zeros(slots, dtype=int)
+    for i, s in enumerate(names):
+        where = np.array(phase["where"][s], dtype=np.int64)
+        at = (where[None, :] + phase["period"] * np.arange(-(-slots // phase["period"]))[:, None]).ravel()
+        order[at[at < slots]] = i
+    assert slots >= 60_000
+    for i, s in enumerate(names):
+        had = np.cumsum(order == i)
+        assert np.abs(had - np.arange(1, slots + 1) * float(exact[s] / total)).max() < 1
+        assert phase["span"][s] == (0, had[-1])
+
+
+def test_endless_weights_are_refused_for_many_blocks():
+    weights = {"a": Fraction(1, 3), "b": Fraction("0.14159265358979")}
+    assert len(mixing.phases({"a": 500, "b": 500}, weights, None, 1000)) == 2
+    with pytest.raises(ValueError):
+        mixing.phases({"a": 5000, "b": 5000}, weights, None, 1000)
+
+
 def test_mix_odd_rows(spark, odd, empty):
-    got = mixing.mix(odd.withColumn("mix_block", F.lit("clash")), block_rows=2).collect()
+    clash = odd.withColumn("mix_block", F.lit("clash")).withColumn("s", F.lit("own")).withColumn("k.at", F.lit(1))
+    got = mixing.mix(clash, block_rows=2).collect()
     assert sorted(r["mix_position"] for r in got) == list(range(odd.count()))
+    assert {(r["s"], r["k.at"]) for r in got} == {("own", 1)}
     assert mixing.mix(empty).count() == 0
 
 

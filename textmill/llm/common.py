@@ -75,11 +75,11 @@ def slices(batch: pd.DataFrame, text: str, rows: int = 256, chars: int = 4_000_0
 def spread_sample(df: DataFrame, key: str, by: str, cap: int) -> DataFrame:
     """At most ``cap`` rows for each value of ``by``: those of smallest hash of ``key``.
 
-    Group sizes are counted over all rows; a threshold on the hash, uniform over its range,
+    Repeated rows count once.  Group sizes are counted over all rows; a threshold on the hash, uniform over its range,
     thins each group to little more than ``cap`` before any rows are brought together.
     Ties are broken by ``key``, so the sample depends on the rows alone.
     """
-    df = df.select(key, by).where(F.col(key).isNotNull() & F.col(by).isNotNull())
+    df = df.select(key, by).where(F.col(key).isNotNull() & F.col(by).isNotNull()).distinct()
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
     unit = F.xxhash64(F.col(key).cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     keep = F.lit(0.0)
@@ -93,10 +93,13 @@ def spread_sample(df: DataFrame, key: str, by: str, cap: int) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, cap: int) -> DataFrame:
     """Whole texts of a bounded sample of labelled rows: at most ``cap`` for each label.
 
-    Only the sampled keys and labels, of bounded size, are broadcast.
+    Only the sampled keys and labels, of bounded size, are broadcast.  A key with several labels has the
+    greatest; of several texts of one key, the one of the smallest hash is taken.
     """
-    chosen = spread_sample(labels, key, label, cap).dropDuplicates([key])
-    return docs.select(key, text).join(F.broadcast(chosen), key).select(key, text, label)
+    chosen = spread_sample(labels, key, label, cap).groupBy(key).agg(F.max(label).alias("__label"))
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col(key))
+    one = rows.groupBy("__key").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text", "__label")).alias("r"))
+    return one.select(F.col("__key").alias(key), F.col("r.__text").alias(text), F.col("r.__label").alias(label))
 
 
 _IS_SPACE = np.isin(np.arange(256), list(SPACE_BYTES))

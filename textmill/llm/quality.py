@@ -5,11 +5,14 @@ A text becomes a set of n-gram indicators, hashed to ``2 ** bits`` cells:
 * n-grams of orders 1 to 4 over runs of character classes.  Letters are lower case, upper
   case or capitalised words by their bytes, digits are one class, every other ASCII character
   is its own, and a run carries its length up to three (for all but letters and digits);
+* the same n-grams with all printable ASCII characters but letters and digits as one class, so that what is
+  learned of one sign holds for others;
 * n-grams of orders 1 to 4 over the repetition marks of words: whether a word equals the one
   before it or the one two before it.
 
 Each cell is scaled by the log-count ratio of the two classes, with add-``alpha`` smoothing,
-and a linear model with hinge loss is fitted on the scaled vectors by dual coordinate descent.
+a text's scaled vector is brought to unit length, so that it is judged by the evidence it has and not by how
+much it has, and a linear model with hinge loss is fitted on these vectors by dual coordinate descent.
 Its margins become probabilities by a one-dimensional logistic fit on the training margins.
 
 Learning uses at most ``sample`` labelled rows (the bound is a parameter), half for each
@@ -35,6 +38,10 @@ from .common import SPACE_BYTES, labelled_sample, map_texts, sigmoid, slices, wo
 _CLASS = np.array([1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b in SPACE_BYTES and b != 10 else b + 5 for b in range(256)], dtype=np.uint32)
 
 
+#: The same with one class for all signs.
+_COARSE = np.array([5 if 33 <= b <= 126 and c > 4 else c for b, c in enumerate(_CLASS)], dtype=np.uint32)
+
+
 def _hashed(code: np.ndarray, order: int, bits: int, space: int) -> np.ndarray:
     gram = code[: len(code) - order + 1]
     for i in range(1, order):
@@ -47,11 +54,13 @@ def indicators(text: str | None, bits: int) -> np.ndarray:
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
     if not len(raw):
         return np.zeros(0, dtype=np.int64)
-    kind = _CLASS[raw]
-    starts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
-    length = np.diff(np.append(starts, len(raw)))
-    code = kind[starts] * np.uint32(4) + np.where(kind[starts] <= 3, 0, np.minimum(length, 3)).astype(np.uint32)
-    out = [_hashed(code, n, bits, 1) for n in (1, 2, 3, 4) if len(code) >= n]
+    out = []
+    for space, classes in ((1, _CLASS), (3, _COARSE)):
+        kind = classes[raw]
+        starts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        length = np.diff(np.append(starts, len(raw)))
+        code = kind[starts] * np.uint32(4) + np.where(kind[starts] <= 3, 0, np.minimum(length, 3)).astype(np.uint32)
+        out += [_hashed(code, n, bits, space) for n in (1, 2, 3, 4) if len(code) >= n]
     word = word_hashes(raw.tobytes())
     if len(word):
         mark = np.zeros(len(word), dtype=np.uint32)
@@ -66,22 +75,29 @@ def indicators(text: str | None, bits: int) -> np.ndarray:
 
 @dataclass
 class HingeModel:
-    """``weight`` already holds the log-count ratios; slope and offset map margins to log-odds."""
+    """``weight`` already holds the log-count ratios, ``square`` their squares; slope and offset map margins to log-odds."""
 
     weight: np.ndarray
+    square: np.ndarray
     bias: float
     slope: float
     offset: float
     bits: int
 
     def margin(self, cells: np.ndarray) -> float:
-        return float(self.weight[cells].sum()) + self.bias
+        return float(self.weight[cells].sum() * inverse_length(self.square, cells)) + self.bias
 
     def scores(self, texts: list[str | None]) -> dict[str, object]:
         m = np.array([self.margin(indicators(t, self.bits)) for t in texts])
         return {"score": sigmoid(self.slope * m + self.offset)}
 
 
+def inverse_length(square: np.ndarray, cells: np.ndarray) -> float:
+    """One over the length of the scaled vector; 0 for a vector of zeros."""
+    total = float(square[cells].sum())
+    return total**-0.5 if total > 0 else 0.0
+
+
 def log_count_ratio(x: list[np.ndarray], y: np.ndarray, dim: int, alpha: float) -> np.ndarray:
     p, q = np.full(dim, alpha), np.full(dim, alpha)
     for cells, label in zip(x, y):
@@ -90,14 +106,14 @@ def log_count_ratio(x: list[np.ndarray], y: np.ndarray, dim: int, alpha: float)
 
 
 def dual_coordinate_descent(
-    x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, epochs: int, tolerance: float = 1e-3, seed: int = 7
+    x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float, epochs: int, tolerance: float = 1e-3, seed: int = 7, factor: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
-    """Minimises |w|^2 / 2 + cost * sum of hinge losses over the rows scaled by ``scale``.
+    """Minimises |w|^2 / 2 + cost * sum of hinge losses over the rows scaled by ``scale``, and each row by its ``factor``.
 
     One dual variable per row, clipped to [0, cost]; the bias is a constant feature of one.
     """
     w, bias = np.zeros(len(scale)), 0.0
-    value = [scale[c] for c in x]
+    value = [scale[c] if factor is None else scale[c] * factor[i] for i, c in enumerate(x)]
     square = np.array([float(v @ v) + 1 for v in value])
     alpha, random = np.zeros(len(x)), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -167,13 +183,15 @@ def fit(
     if len(set(y.tolist())) < 2:
         share = float((y > 0).mean()) if len(y) else 0.5
         odds = float(np.log((share + 1e-3) / (1 - share + 1e-3))) if len(y) else 0.0
-        return HingeModel(np.zeros(dim), 0.0, 1.0, odds, bits)
+        return HingeModel(np.zeros(dim), np.zeros(dim), 0.0, 1.0, odds, bits)
     ratio = log_count_ratio(x, y, dim, alpha)
-    w, bias = dual_coordinate_descent(x, y, ratio, cost, epochs)
-    weight = w * ratio
-    margins = np.array([weight[c].sum() + bias for c in x])
-    slope, offset = logistic_1d(margins, y)
-    return HingeModel(weight, bias, max(slope, 1e-6), offset, bits)
+    square = ratio * ratio
+    factor = np.array([inverse_length(square, c) for c in x])
+    w, bias = dual_coordinate_descent(x, y, ratio, cost, epochs, factor=factor)
+    model = HingeModel(w * ratio, square, bias, 1.0, 0.0, bits)
+    model.slope, model.offset = logistic_1d(np.array([model.margin(c) for c in x]), y)
+    model.slope = max(model.slope, 1e-6)
+    return model
 
 
 def score(df: DataFrame, model: HingeModel, keep: list[str], text: str = "text") -> DataFrame:

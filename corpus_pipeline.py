@@ -7,6 +7,7 @@ return the columns that they got.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,16 @@ from textmill.llm.queries import MIX_WEIGHTS
 from textmill.session import ensure_checkpoint_dir
 
 
+def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``judge`` gives for ``docs``, whose columns are out of its way in a struct ``row``."""
+    return judge(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.3 or more; it learns as in op2."""
+    """Documents that the classifier scores 0.3 or more; it learns from ``documents``, as in op2, whatever ``docs`` are."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    scored = quality.score(docs, quality.fit(docs, labels), docs.columns)
-    return scored.where(F.col("score") >= 0.3).select(*docs.columns)
+    model = quality.fit(table(spark, sf_dir, "documents"), labels)
+    return judged(docs, lambda d: quality.score(d, model, ["row"])).where(F.col("score") >= 0.3).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +45,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return judged(docs, lambda d: decontaminate.contamination(d, benchmark, ["row"])).where(~F.col("contaminated")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

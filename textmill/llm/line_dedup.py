@@ -1,18 +1,24 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
 A line's tokens are its parts between white space; each character of a script that is written
-without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a token.  A token with a digit
-is a variable field and reads ``<*>``.  The tree has a level for the number of tokens and one
-for each of the ``depth`` leading tokens; a leaf's lines are alike in those.  A leaf's
-template has, at each position, the token that more than half of the leaf's distinct lines
-have, else ``<*>``.  A line belongs to it if at least ``similarity`` of its tokens are equal
-to the template's; any other line is a template of its own.
+without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a token.  A token with a digit,
+an at sign or ``://`` is a variable field and reads ``<*>``.  The tree has a level for the number of
+tokens and one for each of the ``depth`` leading tokens; a leaf's lines are alike in those.
+
+A leaf's templates are found in rounds.  A group's template has, at each position, the token that
+more than half of its distinct lines have, else ``<*>``; a line belongs to it if at least
+``similarity`` of its tokens are equal to the template's.  The lines that fit none are parted by the
+token, of those that at most half of them have, that most of them have in common with the line,
+and each part is a group of the next round.  A line that hasn't
+``similarity`` of its tokens in common with others of its group can't fit any template but its own.
+Every round takes lines out or makes groups smaller, so rounds end by themselves.
 
 A template recurs if lines of it are in more than one document.  Its lines are dropped from
 all documents but the first (smallest key), which keeps them, so that no text is lost from
 the collection.  Lines of fewer than ``alike_from`` tokens are too short to be told apart by
 shares of equal tokens: each is a template as it stands, digits included, so only exact repeats
-of it are dropped.  Blank lines and those of fewer than ``min_tokens`` tokens are left alone.
+of it are dropped.  Blank lines are left alone, and so are those of fewer than ``min_tokens`` tokens
+where that is set above 1.
 
 Lines are moved as hashes, but for those whose leaf is in several documents, which a bit array
 of fixed size (``bits``) tells from most others before the shuffle.  Equal lines of a leaf are
@@ -54,7 +60,7 @@ def spaced(text: Column) -> Column:
 def masked_line(line: Column) -> Column:
     """The line with its variable fields generalised."""
     line = F.trim(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
+    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, "(?<![^ ])(?=[^ ]*(?:[0-9@]|://))[^ ]+", FIELD)).otherwise(line)
 
 
 def n_tokens(line: Column) -> Column:
@@ -78,7 +84,7 @@ def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int, alike_from
     return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf"))
 
 
-def templates(lines: DataFrame, similarity: float, bits: int) -> DataFrame:
+def templates(lines: DataFrame, depth: int, similarity: float, bits: int) -> DataFrame:
     """Rows (line_hash, first) of every line of a recurring template; first is its first document."""
     who = F.struct("__key", "__id")
     spread = lines.groupBy("leaf").agg(F.min(who).alias("first"), F.max(who).alias("last"))
@@ -87,53 +93,85 @@ def templates(lines: DataFrame, similarity: float, bits: int) -> DataFrame:
     words = bloom(recurring, "leaf", bits).scalar()
     inside = lines.where(maybe(words, F.col("leaf"), bits)).join(recurring.hint("shuffle_hash"), "leaf")
     # A hash of the leaf, so that equal lines are combined before they are dealt out anew.
-    distinct = (
-        inside.select(F.xxhash64(F.col("leaf"), F.lit(1)).alias("leaf2"), "masked", F.xxhash64("leaf", "masked").alias("line_hash"), who.alias("who"))
-        .groupBy("leaf2", "masked", "line_hash").agg(F.min("who").alias("first"), F.max("who").alias("last"))
+    left = (
+        inside.select(F.xxhash64(F.col("leaf"), F.lit(1)).alias("group"), "masked", F.xxhash64("leaf", "masked").alias("line_hash"), who.alias("who"))
+        .groupBy("group", "masked", "line_hash").agg(F.min("who").alias("first"), F.max("who").alias("last"))
         .checkpoint()
     )
-    sizes = distinct.groupBy("leaf2").agg(F.count("*").alias("n"))
-    mixed = distinct.join(sizes.where("n > 1").hint("shuffle_hash"), "leaf2")
-    at = mixed.select("leaf2", "n", F.explode(placed(F.col("masked"))).alias("token"))
-    common = at.groupBy("leaf2", "n", "token").agg(F.count("*").alias("c")).where(F.col("c") * 2 > F.col("n"))
-    tree = common.groupBy("leaf2").agg(F.collect_list("token").alias("template"))
-    judged = distinct.join(tree.hint("shuffle_hash"), "leaf2", "left")
-    equal = F.size(F.array_intersect(placed(F.col("masked")), "template"))
-    belongs = F.col("template").isNotNull() & (equal >= F.lit(similarity) * n_tokens(F.col("masked")))
-    judged = judged.select("line_hash", "first", "last", F.when(belongs, F.col("leaf2")).otherwise(F.col("line_hash")).alias("tid"), belongs.alias("shared")).checkpoint()
+    judged = None
+    while True:
+        round_ = judge_groups(left, similarity).checkpoint()
+        done = round_.where("shared or alone").select("line_hash", "first", "last", F.when(F.col("shared"), F.col("group")).otherwise(F.col("line_hash")).alias("tid"), "shared")
+        judged = done if judged is None else judged.union(done)
+        left = regrouped(round_.where("not shared and not alone"), depth, similarity).checkpoint()
+        own = left.where("alone")
+        judged = judged.union(own.select("line_hash", "first", "last", F.col("line_hash").alias("tid"), F.lit(False).alias("shared")))
+        left = left.where("not alone").drop("alone")
+        if left.isEmpty():
+            break
     ends = judged.groupBy("tid", "shared").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     ends = ends.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     return judged.select("line_hash", "tid", "shared").join(ends.hint("shuffle_hash"), ["tid", "shared"]).select("line_hash", "first")
 
 
+def judge_groups(lines: DataFrame, similarity: float) -> DataFrame:
+    """The lines with shared (they belong to their group's template) and alone (nothing else is in the group)."""
+    sizes = lines.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    at = lines.join(sizes.hint("shuffle_hash"), "group").select("group", "n", F.explode(placed(F.col("masked"))).alias("token"))
+    common = at.groupBy("group", "n", "token").agg(F.count("*").alias("c")).where(F.col("c") * 2 > F.col("n"))
+    tree = common.groupBy("group").agg(F.collect_list("token").alias("template"))
+    equal = F.size(F.array_intersect(placed(F.col("masked")), "template"))
+    shared = F.coalesce(equal >= F.lit(similarity) * n_tokens(F.col("masked")), F.lit(False))
+    return lines.join(tree.hint("shuffle_hash"), "group", "left").select(*lines.columns, shared.alias("shared"), F.col("template").isNull().alias("alone"))
+
+
+def regrouped(lines: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """The lines in groups of the next round; alone are those that share too few tokens with their present group.
+
+    Of the leading tokens, which all lines of a group share, one is counted for all; its count is the group's size.
+    """
+    tokens = F.transform(F.split("masked", " "), lambda t, i: F.when((i == 0) | (i >= depth), F.concat(i.cast("string"), F.lit(" "), t)))
+    at = lines.select("group", "line_hash", F.explode(F.array_compact(tokens)).alias("token"))
+    counts = at.groupBy("group", "token").agg(F.count("*").alias("c")).where("c > 1")
+    met = at.join(counts, ["group", "token"]).groupBy("line_hash").agg(F.sort_array(F.collect_list(F.struct("c", "token")), asc=False).alias("met"))
+    size = F.get("met", F.lit(0))["c"]
+    some = F.filter("met", lambda m: m["c"] * 2 <= size)
+    most = F.filter("met", lambda m: (m["c"] * 2 > size))
+    n = n_tokens(F.col("masked"))
+    enough = F.coalesce(F.size("met") + F.least(n, F.lit(depth)) - 1 >= F.lit(similarity) * n, F.lit(False))
+    rest = F.size(most) + F.least(n, F.lit(depth)) - 1 >= F.lit(similarity) * n
+    part = F.when(rest, F.lit("")).otherwise(F.get(some, F.lit(0))["token"])
+    joined = lines.join(met.hint("shuffle_hash"), "line_hash", "left")
+    return joined.select(F.xxhash64("group", part).alias("group"), "masked", "line_hash", "first", "last", (~enough).alias("alone"))
+
+
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.7, min_tokens: int = 5, bits: int = 1 << 23,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, similarity: float = 0.7, min_tokens: int = 1, bits: int = 1 << 23,
     alike_from: int = 5,
 ) -> DataFrame:
     """All rows; ``text`` without the dropped lines, then n_lines, n_dropped and n_left.
 
     n_left counts the lines left that have ``min_tokens`` tokens or more; with 1, all but blank ones.
     """
-    docs = docs.drop(*ADDED)
-    named = docs.withColumn("__key", F.col(key)).withColumn("__id", F.xxhash64(F.lit(7), F.col(text)))
-    lines = lines_of(named.select("__key", "__id", text), text, depth, min_tokens, alike_from)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # out of the way of the columns below
+    named = docs.select(row.alias("row"), F.col(key).alias("__key"), F.xxhash64(F.lit(7), F.col(text)).alias("__id"), F.col(text).alias("text"))
+    lines = lines_of(named.select("__key", "__id", "text"), "text", depth, min_tokens, alike_from)
     ensure_checkpoint_dir(docs.sparkSession)
-    found = templates(lines, similarity, bits)
+    found = templates(lines, depth, similarity, bits)
     slim = lines.select("__key", "__id", "line_no", F.xxhash64("leaf", "masked").alias("line_hash"))
     hit = slim.join(found, "line_hash").where(~F.struct("__key", "__id").eqNullSafe(F.col("first")))
-    drops = hit.groupBy("__key", "__id").agg(F.collect_set("line_no").alias("__drop"))
-    drops = drops.select(F.col("__key").alias("__k2"), F.col("__id").alias("__i2"), "__drop")
-    same = F.col("__key").eqNullSafe(F.col("__k2")) & (F.col("__id") == F.col("__i2"))
-    joined = named.join(drops.hint("shuffle_hash"), same, "left")
-    parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__drop"), i))
-    left = F.filter(F.col("__kept"), lambda line: line.rlike(r"(?U)\S") if min_tokens <= 1 else n_tokens(spaced(line)) >= min_tokens)
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), parts).otherwise(kept))
-    out = {c: F.col(c) for c in docs.columns}
-    out[text] = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
+    drops = hit.groupBy("__key", "__id").agg(F.collect_set("line_no").alias("drop"))
+    drops = drops.select(F.col("__key").alias("k2"), F.col("__id").alias("i2"), "drop")
+    same = F.col("__key").eqNullSafe(F.col("k2")) & (F.col("__id") == F.col("i2"))
+    parts = F.split(F.col("text"), "\n")
+    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("drop"), i))
+    joined = named.join(drops.hint("shuffle_hash"), same, "left").withColumn("kept", F.when(F.col("drop").isNull(), parts).otherwise(kept))
+    left = F.filter(F.col("kept"), lambda line: line.rlike(r"(?U)\S") if min_tokens <= 1 else n_tokens(spaced(line)) >= min_tokens)
+    out = {c: F.col("row").getField(c) for c in docs.columns if c not in ADDED}
+    out[text] = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     return joined.select(
         *(e.alias(c) for c, e in out.items()),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.size(left), F.lit(0)).cast("long").alias("n_left"),
     )

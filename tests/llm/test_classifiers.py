@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.llm import language_id, quality, queries, toxicity
-from textmill.llm.common import fold, shingle_hashes, slices, spread_sample, table, word_hashes
+from textmill.llm.common import fold, labelled_sample, shingle_hashes, slices, spread_sample, table, word_hashes
 
 
 def test_fold_matches_zlib(spark):
@@ -22,6 +22,13 @@ def test_spread_sample_is_bounded_and_stable(spark):
     assert sorted(a) == sorted(b) and len(a) == 120
 
 
+def test_repeated_keys_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(2, "b"), (2, None), (3, "c")], "k long, t string")
+    labels = spark.createDataFrame([(1, 0)] * 300 + [(2, 1), (2, 0), (3, 1)], "k long, y int")
+    a, b = (sorted(labelled_sample(d, l, "k", "t", "y", 5).collect(), key=str) for d, l in ((docs, labels), (docs.repartition(5), labels.repartition(3))))
+    assert a == b and [(r["k"], r["y"]) for r in a] == [(1, 0), (2, 1), (3, 1)]
+
+
 def test_word_hashes_tell_words_apart():
     words = [b"a", b"b", b"ab", b"ba", b"a" * 63, b"a" * 64, b"a" * 65, b"a" * 200]
     h = word_hashes(b" \t".join(words))
@@ -145,6 +152,12 @@ def test_clauses_do_not_touch(matcher):
     assert x["insult"] == pytest.approx(np.log1p(10.0)) and x["aimed_insult"] == x["negated_insult"] == 0
 
 
+def test_long_texts_take_time_in_proportion(matcher):
+    """Ten megabytes of clauses, of which only one mark parts, each matched once."""
+    x = dict(zip(toxicity.EVENTS, matcher.events("what an idiot. " * 700_000)))
+    assert x["insult"] == pytest.approx(np.log1p(5.0 * 700_000))
+
+
 def test_composition_equals_cascade():
     plain = [(k, "") for k in range(7)]
     first = toxicity.window_transducer(plain, toxicity.NEGATION, "n", 3)

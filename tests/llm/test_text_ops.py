@@ -368,6 +368,23 @@ def test_tree_scores_equal_walk():
         assert tree.scorer()([lm_score.content(t)])[0] == pytest.approx(total, rel=1e-6)
 
 
+def test_fit_equals_brute_force(spark, docs):
+    """Counts over ranges and tasks, and the contexts that pass, against a plain count of all grams."""
+    texts = [r["text"] for r in docs.limit(60).collect()]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = lm_score.fit(frame, depth=3, p_min=1e-3, bucket_chars=20_000)
+    positions = sum(len(lm_score.content(t)) for t in texts)
+    want = small_tree(texts, least=1e-3 * positions, divergence=0.01, kappa=6.0)
+    a, b = ({int(k): tuple(p) for k, p in zip(t.keys, t.log10p.round(4))} for t in (model.tree, want))
+    assert len(a) > 100 and a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=2e-4) for k in a)
+
+
+def test_ids_are_the_same_when_a_task_runs_anew(spark, docs):
+    model = lm_score.fit(docs)
+    once, again = (sorted(lm_score.score(docs, model, ["doc_id"]).collect()) for _ in range(2))
+    assert once == again and len(once) == docs.count()
+
+
 def test_lookup_finds_all():
     keys = np.random.default_rng(5).integers(0, 1 << 62, 5000).astype(np.uint64)
     table_ = lm_score.Lookup(np.unique(keys))

@@ -7,9 +7,10 @@ table, keyed by the block of the last two words under the search position, says
 position can move without passing any pattern; where it says zero, the block selects a bucket
 of patterns, which are compared directly.
 
-The benchmark is the query set.  It is collected in blocks of at most ``block_chars``
-characters, chosen by a hash of the item, so what one task holds has a fixed bound; all
-documents are searched for every block, and the spans found are carried along in the rows.
+The benchmark is the query set.  It is read in blocks of at most ``block_chars``
+characters, chosen by a hash of the item; a block's texts are broadcast, and a task builds its tables
+from them, so what driver and tasks hold has a fixed bound.  All documents are searched for every block.  Where
+there are several blocks, documents are numbered and written once, and each block gives (number, spans, items) alone.
 
 Defined results: null and empty texts have no words, no hits and are clean; repeated items
 count once; repeated documents get equal rows; an empty benchmark leaves all clean; other
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -39,47 +41,91 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Searches a word sequence for patterns of one length."""
+    """Searches a word sequence for patterns of one length.
+
+    Words are numbered from 1 in the order they are met, 0 is any other word; a pattern is a row of
+    such numbers, so comparing rows compares words.
+    """
 
     def __init__(self, patterns: Iterable[tuple[bytes, ...]]):
-        self.buckets: dict[tuple, set[tuple[bytes, ...]]] = defaultdict(set)
-        self.shift: dict[tuple, int] = {}
-        self.length = 0
+        self.ids: dict[bytes, int] = {}
+        self.shift: dict[int, int] = {}
+        self.where: dict[int, list[int]] = {}
+        self.rows, self.length, self.block = array("I"), 0, 1
         for p in patterns:
-            self.length = len(p)
-            self.block = min(2, self.length)
-            for end in range(self.block, self.length + 1):
-                key, far = p[end - self.block : end], self.length - end
-                self.shift[key] = min(self.shift.get(key, far), far)
-            self.buckets[p[self.length - self.block :]].add(p)
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """Start and pattern of each occurrence."""
-        length, block = self.length, self.block
-        far, shift = length - block + 1, self.shift.get
-        at, stop = length, len(words)
-        pairs = block == 2
+            self.add(p)
+
+    def add(self, pattern: tuple[bytes, ...]) -> int:
+        """The pattern's number; a pattern that is there already keeps its own."""
+        ids, shift = self.ids, self.shift
+        length = self.length = len(pattern)
+        self.block = min(2, length)
+        row = [ids.setdefault(w, len(ids) + 1) for w in pattern]
+        known = self.where.setdefault(hash(tuple(row)), [])
+        for r in known:
+            if self.rows[r * length : (r + 1) * length].tolist() == row:
+                return r
+        for end in range(self.block, length + 1):
+            key = row[end - 2] << 32 | row[end - 1] if self.block == 2 else row[end - 1]
+            if shift.get(key, length) > length - end:
+                shift[key] = length - end
+        known.append(len(self.rows) // length)
+        self.rows.extend(row)
+        return known[-1]
+
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Start and number of the pattern of each occurrence."""
+        get = self.ids.get
+        row = [get(w, 0) for w in words]
+        length, far, shift = self.length, self.length - self.block + 1, self.shift.get
+        at, stop, two = length, len(row), self.block == 2
         while at <= stop:
-            key = (words[at - 2], words[at - 1]) if pairs else (words[at - 1],)
-            step = shift(key, far)
+            step = shift(row[at - 2] << 32 | row[at - 1] if two else row[at - 1], far)
             if step:
                 at += step
                 continue
-            candidate = tuple(words[at - length : at])
-            if candidate in self.buckets[key]:
-                yield at - length, candidate
+            candidate = row[at - length : at]
+            for r in self.where.get(hash(tuple(candidate)), ()):
+                if self.rows[r * length : (r + 1) * length].tolist() == candidate:
+                    yield at - length, r
             at += 1
 
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+        """Start and pattern of each occurrence."""
+        for begin, _ in self.occurrences(words):
+            yield begin, tuple(words[begin : begin + self.length])
+
 
-def windows(items: Iterable[tuple[str, str | None]], window: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Each distinct window and the items that have it."""
-    found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        words = words_of(text)
-        if words:
-            for i in range(max(1, len(words) - window + 1)):
-                found[tuple(words[i : i + window])].add(item)
-    return {p: sorted(v) for p, v in found.items()}
+class Machines:
+    """A machine for each length of window of some items, and the items of each pattern."""
+
+    def __init__(self, items: Iterable[tuple[str, str | None]], window: int):
+        self.machines: dict[int, WuManber] = {}
+        self.items: dict[int, list] = defaultdict(list)  # by length: the items of each pattern
+        for item, text in items:
+            words = words_of(text)
+            if not words:
+                continue
+            length = min(window, len(words))
+            machine, owners = self.machines.setdefault(length, WuManber(())), self.items[length]
+            for i in range(len(words) - length + 1):
+                r = machine.add(tuple(words[i : i + length]))
+                if r == len(owners):
+                    owners.append(item)
+                elif isinstance(owners[r], set):
+                    owners[r].add(item)
+                elif owners[r] != item:
+                    owners[r] = {owners[r], item}
+
+    def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, spans of the occurrences and the items that they are from."""
+        words, hits, of = words_of(text), [], set()
+        for length, machine in self.machines.items():
+            for begin, r in machine.occurrences(words):
+                hits.append((begin, begin + length))
+                owner = self.items[length][r]
+                of.update(owner if isinstance(owner, set) else (owner,))
+        return len(words), hits, of
 
 
 def contamination(
@@ -90,61 +136,66 @@ def contamination(
     item: str = "item_id",
     item_text: str = "text",
     window: int = 13,
-    block_chars: int = 16_000_000,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """Columns ``keep``, then n_words, n_hit, n_items, items_sha256, items and contaminated."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(1.25 * chars / block_chars)) if chars > block_chars else 1
-    found_type = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
-    state = [T.StructField("__spans", found_type), T.StructField("__items", T.ArrayType(T.StringType()))]
-    kept = [docs.schema[c] for c in dict.fromkeys([*keep, text])]
-    out = docs.select(*(f.name for f in kept)).withColumn("__spans", F.lit(None).cast(found_type)).withColumn("__items", F.lit(None).cast("array<string>"))
-
-    def searcher(patterns, last: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by_length: dict[int, list] = defaultdict(list)
-            for p in patterns.value:
-                by_length[len(p)].append(p)
-            machines = [WuManber(v) for _, v in sorted(by_length.items())]
+    parts = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b) for b in range(blocks)]
+    added = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
+    result = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL(added).fields])
+    if blocks == 1:
+        block = spark.sparkContext.broadcast(sorted(map(tuple, parts[0].collect())))
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machines = Machines(block.value, window)
             for batch in batches:
                 for piece in slices(batch, text):
-                    found = [search(machines, patterns.value, t) for t in piece[text]]
-                    spans = [merged([*pairs(old), *hits]) for old, (_, hits, _) in zip(piece["__spans"], found)]
-                    names = [sorted({*(() if old is None else old), *of}) for old, (_, _, of) in zip(piece["__items"], found)]
-                    if last:
-                        yield digest(piece[list(keep)], [n for n, _, _ in found], spans, names)
-                    else:
-                        yield piece.assign(__spans=pd.Series(spans, index=piece.index), __items=pd.Series(names, index=piece.index))
-
-        return run
+                    found = [machines.search(t) for t in piece[text]]
+                    yield digest(piece[list(keep)], [n for n, _, _ in found], [merged(hits) for _, hits, _ in found], [sorted(of) for _, _, of in found])
+
+        out = docs.select(*dict.fromkeys([*keep, text])).mapInPandas(whole, result)
+    else:
+        ensure_checkpoint_dir(spark)
+        numbered = docs.select(*dict.fromkeys([*keep, text])).withColumn("__n", F.monotonically_increasing_id()).checkpoint()
+        slim = "n long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
+        found = None
+        for b, part in enumerate(parts):
+            one = numbered.select("__n", F.col(text).alias("t")).mapInPandas(searcher(spark.sparkContext.broadcast(sorted(map(tuple, part.collect()))), window, b == 0), slim)
+            found = one if found is None else found.union(one)
+        each = found.groupBy("n").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+        joined = numbered.drop(*([] if text in keep else [text])).join(each.withColumnRenamed("n", "__n").select("__n", F.struct("n_words", "spans", "items").alias("__f")), "__n")
+        flat = joined.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), "__f.*").toDF(*(f"k{i}" for i in range(len(keep))), "n_words", "spans", "items")
+
+        def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                names = [list(v) for v in batch["items"]]
+                kept = batch[[f"k{i}" for i in range(len(keep))]].set_axis(list(keep), axis=1)
+                yield digest(kept, batch["n_words"].tolist(), [merged(pairs(s)) for s in batch["spans"]], names)
 
-    added = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
-    result = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL(added).fields])
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
-        patterns = spark.sparkContext.broadcast(windows(((r["item"], r["t"]) for r in part.collect()), window))
-        last = b == blocks - 1
-        out = out.mapInPandas(searcher(patterns, last), result if last else T.StructType([*kept, *state]))
-        if not last:
-            ensure_checkpoint_dir(spark)
-            out = out.checkpoint()
+        out = flat.mapInPandas(named, result)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def search(machines: list[WuManber], patterns: dict[tuple[bytes, ...], list[str]], text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, spans of the occurrences and the items that they are from."""
-    words, hits, of = words_of(text), [], set()
-    for m in machines:
-        for begin, p in m.find(words):
-            hits.append((begin, begin + m.length))
-            of.update(patterns[p])
-    return len(words), hits, of
+def searcher(block, window: int, all_rows: bool):
+    """Rows (n, n_words, spans, items) of the documents that hold items of the block, or of all documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machines = Machines(block.value, window)
+        for batch in batches:
+            for piece in slices(batch, "t"):
+                found = [(n, *machines.search(t)) for n, t in zip(piece["__n"], piece["t"])]
+                rows = [(n, words, merged(hits), sorted(of)) for n, words, hits, of in found if all_rows or hits]
+                yield pd.DataFrame(rows, columns=["n", "n_words", "spans", "items"])
+
+    return run
 
 
 def pairs(spans) -> list[tuple[int, int]]:
-    return [] if spans is None else [(s["begin"], s["end"]) for s in spans]
+    return [(s["begin"], s["end"]) for s in spans]
 
 
 def digest(frame: pd.DataFrame, n_words: list[int], spans: list, names: list[list[str]]) -> pd.DataFrame:

@@ -5,7 +5,9 @@ The model reads them as bytes: every word and a blank, then a line feed for the
 gives each sequence of tokens one probability.  Texts begin after line feeds.
 
 Training counts all ``depth`` + 1 byte grams of all training texts, in packed arrays that are
-combined in every task and merged in buckets by their context's last two bytes.  The tree's
+combined in every task and merged in ranges of their contexts read backwards, so contexts of one
+ending lie together; the ranges have about equally many positions of a sample (``range_sample``, which
+affects nothing but the ranges).  The few contexts that cross a range's end are summed afterwards.  The tree's
 candidates are the contexts of up to ``depth`` bytes whose share of all positions is at least
 ``p_min``; there are at most 1 / ``p_min`` of each length, so the tree has a size bound that
 does not depend on the corpus.  From short to long, a context is retained if its distribution
@@ -28,12 +30,12 @@ are 0 and the tree is a uniform root; other columns are ignored.
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +119,34 @@ class Tally:
 GRAM_BUCKETS = 12
 
 
-def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
-    tail = keys if kind == WORDS else (keys >> _U(8)) & _U(0xFFFF)
-    buckets = buckets if kind == WORDS else buckets * GRAM_BUCKETS
-    return ((tail * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(buckets)).astype(np.int64)
+def backwards(context: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts as numbers whose highest byte is the nearest."""
+    out = np.zeros(len(context), dtype=np.uint64)
+    for j in range(depth):
+        out = out << _U(8) | (context >> _U(8 * j)) & _U(255)
+    return out
 
 
-def count(train: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(buckets)).astype(np.int64)
+
+
+def range_ends(train: DataFrame, text: str, depth: int, chars: int, ranges: int, range_sample: int) -> np.ndarray:
+    """Ends of ranges of backward contexts, from all positions of texts chosen by their hash and one in 64 of them."""
+    share = min(1.0, 64.0 * range_sample / max(1, chars))
+    some = train.where(F.pmod(F.xxhash64(F.col(text), F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select(text)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for piece in slices(batch, text):
+                data, at, _ = stream([content(t) for t in piece[text]], depth)
+                yield pd.DataFrame({"c": backwards(contexts(data, at, depth)[::64], depth).astype(np.int64)})
+
+    seen = np.sort(some.mapInPandas(run, "c long").toArrow()["c"].to_numpy())
+    return np.unique(seen[np.linspace(0, len(seen) - 1, ranges + 1).astype(np.int64)[1:-1]]).astype(np.uint64) if len(seen) else seen.astype(np.uint64)
+
+
+def count(train: DataFrame, text: str, depth: int, buckets: int, ends: np.ndarray) -> DataFrame:
     """Rows (kind, bucket, keys, counts): merged counts of words and grams, packed."""
     fields = "kind int, bucket long, keys binary, counts binary"
 
@@ -137,7 +160,7 @@ def count(train: DataFrame, text: str, depth: int, buckets: int) -> DataFrame:
                 tallies[GRAMS].add(contexts(data, at, depth) << _U(8) | data[at])
         for kind, tally in tallies.items():
             keys, counts = tally.total()
-            bucket = bucket_of(kind, keys, buckets)
+            bucket = bucket_of(keys, buckets) if kind == WORDS else np.searchsorted(ends, backwards(keys >> _U(8), depth), side="right")
             order = np.argsort(bucket, kind="stable")
             keys, counts, bucket = keys[order], counts[order], bucket[order]
             for b, part in parts_of(bucket):
@@ -237,22 +260,23 @@ def candidates(counted: DataFrame, depth: int, least: float) -> DataFrame:
         for batch in group:
             for keys, counts in zip(batch["keys"], batch["counts"]):
                 keys, counts = unpacked(keys, True), unpacked(counts)
+                order = np.argsort(backwards(keys >> _U(8), depth))
+                ends = (keys >> _U(8))[order[[0, -1]]]
                 for n in range(depth, -1, -1):
                     keys, counts = summed(keys & _U((1 << 8 * (n + 1)) - 1), counts)
                     context = keys >> _U(8)
-                    if n >= 2:  # a bucket has all grams of these contexts
-                        begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-                        size = np.diff(np.append(begin, len(context)))
-                        kept = np.repeat(np.add.reduceat(counts, begin) >= least, size)
-                    else:
-                        kept = np.ones(len(keys), dtype=bool)
+                    begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+                    size = np.diff(np.append(begin, len(context)))
+                    # A range has all grams of a context but of the first and the last, which others may share.
+                    crosses = np.isin(context, ends & _U((1 << 8 * n) - 1))
+                    kept = np.repeat(np.add.reduceat(counts, begin) >= least, size) | crosses
                     yield pd.DataFrame({"len": np.int32(n), "context": context[kept].astype(np.int64), "symbol": (keys[kept] & _U(255)).astype(np.int32), "n": counts[kept]})
 
     rows = counted.where(F.col("kind") == GRAMS).select("keys", "counts").mapInPandas(run, "len int, context long, symbol int, n long")
     return rows.groupBy("len", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
-def grow(rows: pd.DataFrame, depth: int, least: float, divergence: float, kappa: float) -> SuffixTree:
+def grow(rows: pd.DataFrame, depth: int, least: float, divergence: float, kappa: float, chunk: int = 8192) -> SuffixTree:
     """The tree, from the candidate contexts' next-symbol counts."""
     rows = rows.sort_values(["len", "context", "symbol"])
     symbols = np.unique(rows["symbol"].to_numpy())
@@ -262,33 +286,38 @@ def grow(rows: pd.DataFrame, depth: int, least: float, divergence: float, kappa:
     root = np.full(width, 0.5)
     top = rows[rows["len"] == 0]
     root[code[top["symbol"]]] += top["n"].to_numpy()
-    keys, probs = [np.zeros(1, dtype=np.uint64)], [(root / (top["n"].sum() + 128.0))[None, :]]
+    keys, probs = np.zeros(1, dtype=np.uint64), (root / (top["n"].sum() + 128.0))[None, :].astype(np.float32)
     for n in range(1, depth + 1):
         part = rows[rows["len"] == n]
-        context = part["context"].to_numpy().astype(np.uint64)
+        context, symbol, seen_n = part["context"].to_numpy().astype(np.uint64), part["symbol"].to_numpy(), part["n"].to_numpy()
         if not len(context):
             continue
         begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(context))))
-        seen = np.zeros((len(begin), width))
-        seen[row, code[part["symbol"]]] = part["n"]
-        total = seen.sum(axis=1)
-        enough = total >= least
-        seen, total, name = seen[enough], total[enough], context[begin][enough]
-        known = Lookup(np.concatenate(keys))
-        parent = np.zeros(len(name), dtype=np.int64)
-        for m in range(n - 1, 0, -1):
-            open_ = np.flatnonzero(parent == 0)
-            found = known.find((name[open_] & _U((1 << 8 * m) - 1)) | _U(m << 56))
-            parent[open_] = np.maximum(found, 0)
-        before = np.concatenate(probs)[parent]
-        mass = kappa * (seen > 0).sum(axis=1)  # as many pseudo-observations as symbols were seen
-        p = (seen + mass[:, None] * before) / (total + mass)[:, None]
-        weight = p * np.concatenate([np.ones(width - 1), [256.0 - len(symbols)]])  # the last column stands for many bytes
-        far = (weight * np.log(p / before)).sum(axis=1) >= divergence
-        keys.append(name[far] | _U(n << 56))
-        probs.append(p[far])
-    return SuffixTree(depth, np.concatenate(keys), np.log10(np.concatenate(probs)).astype(np.float32), code)
+        edges = np.append(begin, len(context))
+        known, new_keys, new_probs = Lookup(keys), [], []
+        for first in range(0, len(begin), chunk):  # a dense matrix of ``chunk`` contexts at a time
+            last = min(first + chunk, len(begin))
+            own = slice(edges[first], edges[last])
+            row = np.repeat(np.arange(last - first), np.diff(edges[first : last + 1]))
+            seen = np.zeros((last - first, width))
+            seen[row, code[symbol[own]]] = seen_n[own]
+            total = seen.sum(axis=1)
+            enough = total >= least
+            seen, total, name = seen[enough], total[enough], context[begin[first:last]][enough]
+            parent = np.zeros(len(name), dtype=np.int64)
+            for m in range(n - 1, 0, -1):
+                open_ = np.flatnonzero(parent == 0)
+                found = known.find((name[open_] & _U((1 << 8 * m) - 1)) | _U(m << 56))
+                parent[open_] = np.maximum(found, 0)
+            before = probs[parent].astype(np.float64)
+            mass = kappa * (seen > 0).sum(axis=1)  # as many pseudo-observations as symbols were seen
+            p = (seen + mass[:, None] * before) / (total + mass)[:, None]
+            weight = p * np.concatenate([np.ones(width - 1), [256.0 - len(symbols)]])  # the last column stands for many bytes
+            far = (weight * np.log(p / before)).sum(axis=1) >= divergence
+            new_keys.append(name[far] | _U(n << 56))
+            new_probs.append(p[far].astype(np.float32))
+        keys, probs = np.concatenate([keys, *new_keys]), np.concatenate([probs, *new_probs])
+    return SuffixTree(depth, keys, np.log10(probs), code)
 
 
 @dataclass
@@ -305,12 +334,14 @@ class Model:
 def fit(
     train: DataFrame, text: str = "text", depth: int = 6, p_min: float = 4e-6, divergence: float = 0.01,
     kappa: float = 6.0, word_share: float = 2e-6, bucket_chars: int = 100_000_000,
+    range_sample: int = 500_000,
 ) -> Model:
     """Counts all of ``train`` and grows the tree."""
     ensure_checkpoint_dir(train.sparkSession)
     chars = train.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = max(8, math.ceil(chars / bucket_chars))
-    counted = count(train, text, depth, buckets).checkpoint()
+    ends = range_ends(train, text, depth, chars, buckets * GRAM_BUCKETS, range_sample)
+    counted = count(train, text, depth, buckets, ends).checkpoint()
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -347,7 +378,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, frequent, counts = shared.value
         value, table, tree_score = np.log10((counts + 0.5) / floor), Lookup(frequent), tree.scorer()
-        serial = int.from_bytes(os.urandom(7), "little")  # what is written below is read back, never run again
+        serial = TaskContext.get().partitionId() << 40  # a task run anew gives its rows the same ids
         for batch in batches:
             for piece in slices(batch, text, rows=1024, chars=1_000_000):
                 texts = [content(t) for t in piece[text]]
@@ -367,7 +398,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 )
                 yield frame
                 rare, of = words[~hit], which[~hit]
-                bucket = bucket_of(WORDS, rare, buckets)
+                bucket = bucket_of(rare, buckets)
                 order = np.lexsort((of, bucket))
                 rare, of, bucket = rare[order], of[order], bucket[order]
                 rows = []

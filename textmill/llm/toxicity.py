@@ -192,12 +192,13 @@ class Matcher:
         total = np.zeros(len(self.names))
         if text:
             lower = text.lower()
-            done = -1
+            done, begin, scanned = -1, 0, 0  # no part is searched for a clause's begin twice
             for end, n in self.trie.iter(lower):
                 at = end - n + 1
                 if at < done or (at and lower[at - 1].isalpha()):
                     continue
-                begin = max(lower.rfind(c, 0, at) for c in ".!?;:\n") + 1
+                begin = max(begin, max(lower.rfind(c, scanned, at) for c in ".!?;:\n") + 1)
+                scanned = at
                 found = _CLAUSE.match(lower, begin)
                 done = found.end()
                 for event, weight in self.clause(found.group()).items():

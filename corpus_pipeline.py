@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
@@ -18,24 +18,29 @@ from textmill.llm.queries import MIX_WEIGHTS
 from textmill.session import ensure_checkpoint_dir
 
 
-def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``judge`` gives for ``docs``, whose columns are out of its way in a struct ``row``."""
-    return judge(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+def judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFrame], verdict: Column) -> DataFrame:
+    """The rows of ``docs`` for which ``judge(rows, columns, text)`` gives the verdict; columns have other names meanwhile."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    out = judge(docs.toDF(*names), names, names[docs.columns.index("text")]).where(verdict)
+    return out.select(*names).toDF(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more; it learns from ``documents``, as in op2, whatever ``docs`` are."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     model = quality.fit(table(spark, sf_dir, "documents"), labels)
-    return judged(docs, lambda d: quality.score(d, model, ["row"])).where(F.col("score") >= 0.3).select("row.*")
+    return judged(docs, lambda rows, keep, text: quality.score(rows, model, keep, text), F.col("score") >= 0.3)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; those of which only blank lines are left go."""
-    out = line_dedup.dedup_lines(docs, min_tokens=1).where("n_dropped = 0 OR n_left > 0")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    out = line_dedup.dedup_lines(docs.toDF(*names), key, text).where("n_dropped = 0 OR n_left > 0")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        size = names[docs.columns.index("n_chars")]
+        out = out.withColumn(size, F.when(F.col("n_dropped") > 0, F.length(text)).otherwise(F.col(size)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     benchmark = table(spark, sf_dir, "benchmark")
-    return judged(docs, lambda d: decontaminate.contamination(d, benchmark, ["row"])).where(~F.col("contaminated")).select("row.*")
+    return judged(docs, lambda rows, keep, text: decontaminate.contamination(rows, benchmark, keep, text), ~F.col("contaminated"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,56 +46,67 @@ FIELD = "<*>"
 #: White space but line feeds, and letters of scripts without blanks between words.
 _SPACE = r"\t\x0B-\r\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+#: A few ranges that hold all of these beyond ASCII; far cheaper to search for.
+_BEYOND = r"[\u0085\u00A0\u0E00-\x{10FFFF}]"
 
 
 def spaced(text: Column) -> Column:
     """The text with one blank between any two tokens of a line; its line feeds stay."""
     # Searches for single bytes are far cheaper than expressions, which only texts beyond ASCII need.
-    odd = (F.octet_length(text) > F.length(text)) & text.rlike(f"[{_SPACE}{_DENSE}]")
+    odd = (F.octet_length(text) > F.length(text)) & text.rlike(_BEYOND) & text.rlike(f"[{_SPACE}{_DENSE}]")
     for part in ("  ", "\t", "\r", "\x0b", "\x0c"):
         odd = F.contains(text, F.lit(part)) | odd
     return F.when(odd, F.regexp_replace(F.regexp_replace(text, f"([{_DENSE}])", " $1 "), f"[ {_SPACE}]+", " ")).otherwise(text)
 
 
 def masked_line(line: Column) -> Column:
-    """The line with its variable fields generalised."""
-    line = F.trim(line)
-    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, "(?<![^ ])(?=[^ ]*(?:[0-9@]|://))[^ ]+", FIELD)).otherwise(line)
+    """The trimmed line with its variable fields generalised."""
+    line = F.when(F.contains(line, F.lit("://")), F.regexp_replace(line, "(?<![^ ])[^ ]*://[^ ]*", FIELD)).otherwise(line)
+    return F.when(line.rlike("[0-9@]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*", FIELD)).otherwise(line)
 
 
 def n_tokens(line: Column) -> Column:
-    """Tokens of a spaced line."""
-    line = F.trim(line)
+    """Tokens of a spaced and trimmed line."""
     return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
+def blank(line: Column) -> Column:
+    """Whether a line is nothing but white space; the first character tells for most lines."""
+    first = F.ascii(line)
+    return ((first <= 32) | (first >= 127)) & ~line.rlike(r"(?U)\S")
+
+
 def placed(masked: Column) -> Column:
     """Tokens of a masked line, each with its position."""
     return F.transform(F.split(masked, " "), lambda t, i: F.concat(i.cast("string"), F.lit(" "), t))
 
 
 def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int, alike_from: int) -> DataFrame:
-    """Rows (__key, __id, line_no, masked, leaf) of the lines that the tree holds."""
-    lines = docs.select("__key", "__id", F.posexplode(F.split(spaced(F.col(text)), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("n", n_tokens(F.col("line"))).where(F.col("n") >= max(1, min_tokens))
-    short = F.col("n") < alike_from
-    lines = lines.withColumn("masked", F.when(short, F.trim("line")).otherwise(masked_line(F.col("line"))))
-    leaf = F.xxhash64("n", F.when(short, F.col("masked")).otherwise(F.substring_index("masked", " ", depth)))
-    return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf"))
+    """Rows (__key, __id, line_no, masked, leaf, line_hash) of the lines that the tree holds."""
+    # Within the generator's input, so that no filter behind it makes the patterns run again.
+    parts = F.transform(F.split(spaced(F.col(text)), "\n"), lambda line: F.trim(line))
+    masked = F.transform(parts, lambda line: F.when(n_tokens(line) < alike_from, line).otherwise(masked_line(line)))
+    lines = docs.select("__key", "__id", F.posexplode(masked).alias("line_no", "masked"))
+    lines = lines.withColumn("n", n_tokens(F.col("masked"))).where(F.col("n") >= max(1, min_tokens))
+    leaf = F.xxhash64("n", F.when(F.col("n") < alike_from, F.col("masked")).otherwise(F.substring_index("masked", " ", depth)))
+    return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf")).withColumn("line_hash", F.xxhash64("leaf", "masked"))
 
 
-def templates(lines: DataFrame, depth: int, similarity: float, bits: int) -> DataFrame:
-    """Rows (line_hash, first) of every line of a recurring template; first is its first document."""
+def templates(lines: DataFrame, slim: DataFrame, depth: int, similarity: float, bits: int) -> DataFrame:
+    """Rows (line_hash, first) of every line of a recurring template; first is its first document.
+
+    ``slim`` has the lines without their texts.
+    """
     who = F.struct("__key", "__id")
-    spread = lines.groupBy("leaf").agg(F.min(who).alias("first"), F.max(who).alias("last"))
+    spread = slim.groupBy("leaf").agg(F.min(who).alias("first"), F.max(who).alias("last"))
     recurring = spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("leaf").checkpoint()
     # Most lines of other leaves stay where they are; the join settles the rest.
     words = bloom(recurring, "leaf", bits).scalar()
     inside = lines.where(maybe(words, F.col("leaf"), bits)).join(recurring.hint("shuffle_hash"), "leaf")
     # A hash of the leaf, so that equal lines are combined before they are dealt out anew.
     left = (
-        inside.select(F.xxhash64(F.col("leaf"), F.lit(1)).alias("group"), "masked", F.xxhash64("leaf", "masked").alias("line_hash"), who.alias("who"))
-        .groupBy("group", "masked", "line_hash").agg(F.min("who").alias("first"), F.max("who").alias("last"))
+        inside.select(F.xxhash64(F.col("leaf"), F.lit(1)).alias("group"), "masked", "line_hash", who.alias("who"))
+        .groupBy("line_hash", "group", "masked").agg(F.min("who").alias("first"), F.max("who").alias("last"))
         .checkpoint()
     )
     judged = None
@@ -157,16 +168,16 @@ def dedup_lines(
     named = docs.select(row.alias("row"), F.col(key).alias("__key"), F.xxhash64(F.lit(7), F.col(text)).alias("__id"), F.col(text).alias("text"))
     lines = lines_of(named.select("__key", "__id", "text"), "text", depth, min_tokens, alike_from)
     ensure_checkpoint_dir(docs.sparkSession)
-    found = templates(lines, depth, similarity, bits)
-    slim = lines.select("__key", "__id", "line_no", F.xxhash64("leaf", "masked").alias("line_hash"))
-    hit = slim.join(found, "line_hash").where(~F.struct("__key", "__id").eqNullSafe(F.col("first")))
+    slim = lines.select("__key", "__id", "line_no", "leaf", "line_hash").checkpoint()
+    found = templates(lines, slim, depth, similarity, bits)
+    hit = slim.drop("leaf").join(found, "line_hash").where(~F.struct("__key", "__id").eqNullSafe(F.col("first")))
     drops = hit.groupBy("__key", "__id").agg(F.collect_set("line_no").alias("drop"))
     drops = drops.select(F.col("__key").alias("k2"), F.col("__id").alias("i2"), "drop")
     same = F.col("__key").eqNullSafe(F.col("k2")) & (F.col("__id") == F.col("i2"))
     parts = F.split(F.col("text"), "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("drop"), i))
     joined = named.join(drops.hint("shuffle_hash"), same, "left").withColumn("kept", F.when(F.col("drop").isNull(), parts).otherwise(kept))
-    left = F.filter(F.col("kept"), lambda line: line.rlike(r"(?U)\S") if min_tokens <= 1 else n_tokens(spaced(line)) >= min_tokens)
+    left = F.filter(F.col("kept"), lambda line: ~blank(line) if min_tokens <= 1 else n_tokens(F.trim(spaced(line))) >= min_tokens)
     out = {c: F.col("row").getField(c) for c in docs.columns if c not in ADDED}
     out[text] = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     return joined.select(

@@ -92,3 +92,26 @@ def noise_schedule(steps: int, low: float = 1e-4, high: float = 0.02) -> Column:
     """Cumulative products of 1 - beta for ``steps`` betas evenly from low to high."""
     step = (high - low) / max(1, steps - 1)
     return running_product(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: 1 - (F.lit(low) + i * F.lit(step))))
+
+
+def log1p_relu(c: Column) -> Column:
+    """ln(1 + max(0, x)); null stays null."""
+    return F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))
+
+
+def nan_distance(a: Column, b: Column) -> Column:
+    """Euclidean distance over the places that both vectors have, scaled up to all; infinite where there are none."""
+    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    shared = F.filter(squares, lambda d: d.isNotNull() & ~F.isnan(d))
+    n = F.size(shared)
+    return F.when(n > 0, F.sqrt(total(shared) * F.size(a) / n)).otherwise(F.lit(float("inf")))
+
+
+def scalar_cell(c: Column) -> Column:
+    """The one element of an array of one; null for an empty one."""
+    return F.when(F.size(c) == 1, F.get(c, F.lit(0)))
+
+
+def padded(c: Column, length: Column, fill: int) -> Column:
+    """An array filled up to a length at its right end."""
+    return F.concat(c, F.array_repeat(F.lit(fill), F.greatest(length - F.size(c), F.lit(0)).cast("int")))

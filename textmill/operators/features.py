@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import nan_distance
+
 
 def _stats(df: DataFrame, **exprs: Column) -> dict[str, Column]:
     """Aggregates over the whole table, as columns of one scalar struct."""
@@ -214,3 +216,63 @@ def shrunk(cov: DataFrame, width: int, shrinkage: float = 0.1) -> DataFrame:
     """Convex mix of a covariance with the mean variance on its diagonal."""
     mu = cov.where("i = j").agg((F.sum("cov") / width).alias("m")).scalar()
     return cov.withColumn("cov", (1 - shrinkage) * F.col("cov") + F.when(F.col("i") == F.col("j"), shrinkage * mu).otherwise(0.0))
+
+
+def ordinal_encode(df: DataFrame, column: str, categories: DataFrame | None = None, unknown: float = -1.0, missing: float = float("nan"), name: str = "code") -> DataFrame:
+    """Codes from 0 in the order of the categories (by default the table's own); null and unknown values have codes of their own."""
+    codes = ordinal_codes(df if categories is None else categories, column).withColumnRenamed("code", "__c")
+    code = F.when(F.col(column).isNull(), F.lit(missing)).otherwise(F.coalesce(F.col("__c").cast("double"), F.lit(unknown)))
+    return df.join(codes, column, "left").withColumn(name, code).drop("__c")
+
+
+def nan_distances(queries: DataFrame, points: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows (query, key, distance, vector of the point) of a stated query set against all rows; missing places are left out."""
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
+    return points.select(key, vector).crossJoin(q).select("query", key, nan_distance(F.col("__q"), F.col(vector)).alias("distance"), vector)
+
+
+def knn_impute(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """Rows (query, pos, value): each missing place of a query is the mean over its ``k`` nearest rows, of those that have it.
+
+    The nearest are taken among all rows, itself included at distance 0.  A place that none of them has stays missing.
+    """
+    near = nan_distances(queries, points, key, vector)
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("__r") <= k)
+    at = ranked.select("query", F.posexplode(vector).alias("pos", "x"))
+    means = at.groupBy("query", "pos").agg(F.avg("x").alias("value"))
+    gaps = queries.select(F.col(key).alias("query"), F.posexplode(vector).alias("pos", "x")).where("x is null").drop("x")
+    return gaps.join(means, ["query", "pos"], "left")
+
+
+def center_kernel(df: DataFrame, row: str, column: str, value: str, name: str = "centered") -> DataFrame:
+    """A matrix in rows (row, column, value) less the means of its columns and rows, plus that of all."""
+    rows = df.groupBy(row).agg(F.avg(value).alias("__rm"))
+    columns = df.groupBy(column).agg(F.avg(value).alias("__cm"))
+    mean = df.agg(F.avg(value).alias("m")).scalar()
+    return df.join(rows, row).join(columns, column).withColumn(name, F.col(value) - F.col("__cm") - F.col("__rm") + mean).drop("__rm", "__cm")
+
+
+def pca(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """Rows (key, reduced): the first ``k`` principal components, fitted over all rows; vectors must have one width."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    return PCA(k=k, inputCol="__v", outputCol="__p").fit(data).transform(data).select(key, vector_to_array("__p").alias("reduced"))
+
+
+def spline_basis(c: Column, knots: Sequence[float], degree: int = 3) -> Column:
+    """Values of all B-splines over uniform knots, padded by ``degree`` steps on both sides; x is clamped to the knots.
+
+    The recursion over half-open intervals is spelled out as one expression, so nothing leaves the JVM.
+    """
+    step = knots[1] - knots[0]
+    t = [knots[0] - step * i for i in range(degree, 0, -1)] + list(knots) + [knots[-1] + step * i for i in range(1, degree + 1)]
+    x = F.least(F.greatest(c.cast("double"), F.lit(float(knots[0]))), F.lit(float(knots[-1]) - 1e-12))
+    basis = [F.when((x >= a) & (x < b), 1.0).otherwise(0.0) for a, b in zip(t, t[1:])]
+    for d in range(1, degree + 1):
+        basis = [
+            (x - t[i]) / (t[i + d] - t[i]) * basis[i] + (t[i + d + 1] - x) / (t[i + d + 1] - t[i + 1]) * basis[i + 1]
+            for i in range(len(basis) - 1)
+        ]
+    return F.array(*basis)

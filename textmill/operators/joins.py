@@ -76,12 +76,13 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def nearest_centroid(df: DataFrame, key: str, vector: str, centers: DataFrame, label: str, cosine: bool = False) -> DataFrame:
     """Rows (key, predicted, score): the centroid of least distance, or of largest cosine."""
-    v = vx.doubles(F.col(vector))
-    c = F.col("centroid")
-    score = vx.dot(vx.normalized(v), vx.normalized(c)) if cosine else -vx.distance(v, c)
-    scored = df.select(key, vector).crossJoin(F.broadcast(centers)).select(key, label, score.alias("s"))
-    best = scored.groupBy(key).agg(F.max(F.struct("s", (-F.col(label)).alias("o"))).alias("b"))
-    return best.select(key, (-F.col("b.o")).alias("predicted"), F.col("b.s").alias("score"))
+    v, unit = vx.doubles(F.col(vector)), vx.normalized if cosine else (lambda x: x)
+    # The centers are one row; both sides are brought to length once, below the join, and the best is found in place.
+    listed = centers.select(F.struct(unit(F.col("centroid")).alias("c"), F.col(label).alias("l")).alias("s")).agg(F.collect_list("s").alias("centers"))
+    rows = df.select(key, unit(v).alias("v")).crossJoin(F.broadcast(listed))
+    score = (lambda s: vx.dot(F.col("v"), s["c"])) if cosine else (lambda s: -vx.distance(F.col("v"), s["c"]))
+    best = F.array_max(F.transform("centers", lambda s: F.struct(score(s).alias("s"), (-s["l"]).alias("o"))))
+    return rows.select(key, best.alias("b")).select(key, (-F.col("b.o")).alias("predicted"), F.col("b.s").alias("score"))
 
 
 def jaccard_pairs(df: DataFrame, key: str, tokens: Column, threshold: float) -> DataFrame:

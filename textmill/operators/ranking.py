@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _ranged(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Adds __b, the range of a numeric or time key between approximate quantiles; null keys are in -1."""
+    value = F.col(key).cast("double")
+    cuts = df.agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("c")).scalar()
+    bucket = F.when(value.isNull(), -1).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < value)))
+    return df.withColumn("__cuts", cuts).withColumn("__b", bucket).drop("__cuts")
+
+
+def _before(totals: DataFrame, value: str) -> DataFrame:
+    """Rows (__b, __before) of the sums of earlier ranges; there are few ranges."""
+    before = F.coalesce(F.sum(value).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.select("__b", before.alias("__before"))
+
+
 def row_index(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "row_index", buckets: int = 64) -> DataFrame:
     """Adds positions from 0 in the order of a numeric or time key, then of ``ties``.
 
@@ -15,18 +29,22 @@ def row_index(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "ro
     are taken within buckets and shifted by the counts of those before, of which there are
     ``buckets`` at most.  Rows with a null key come first.
     """
-    value = F.col(key).cast("double")
-    cuts = df.agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("c")).scalar()
-    bucket = F.when(value.isNull(), -1).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < value)))
-    cut = df.withColumn("__cuts", cuts).withColumn("__b", bucket).drop("__cuts")
-    counts = cut.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = counts.select("__b", before.alias("__before"))
+    cut = _ranged(df, key, buckets)
+    shift = _before(cut.groupBy("__b").agg(F.count("*").alias("__n")), "__n")
     inside = Window.partitionBy("__b").orderBy(F.col(key).asc_nulls_first(), *ties)
     numbered = cut.withColumn("__rn", F.row_number().over(inside) - 1).join(F.broadcast(shift), "__b")
     return numbered.withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__b", "__rn", "__before")
 
 
+def sum_before(df: DataFrame, key: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds the sum of a value over all rows of smaller key, by ranges as in ``row_index``; keys are distinct."""
+    cut = _ranged(df, key, buckets)
+    shift = _before(cut.groupBy("__b").agg(F.sum(value).alias("__n")), "__n")
+    inside = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(shift), "__b")
+    return summed.withColumn(name, F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+
+
 def with_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
     """Adds the number of rows, as a scalar, not a window."""
     return df.withColumn(name, df.agg(F.count("*").alias("n")).scalar())

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .ranking import sum_before
 
 
 def count_by(df: DataFrame, column: str, null: str = "__null__") -> DataFrame:
@@ -107,11 +108,10 @@ def metric_bundle(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums with mean ranks of ties; null if a class is missing.
 
-    Ties are combined before ranks are summed, so the window runs over distinct scores.
+    Ties are combined before ranks are summed, and ranks come from ranges of the scores.
     """
     cells = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cells.select("n", "pos", (before + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = sum_before(cells, score, "n", "before").select("n", "pos", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     return sums.select(F.round(F.try_divide(F.col("r") - p * (p + 1) / 2, p * q), 6).alias("auc"), F.col("p").alias("n_pos"), F.col("q").alias("n_neg"))

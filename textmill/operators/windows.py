@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import sum_before
+
 
 def lags(df: DataFrame, value: str, steps: Sequence[int], group: str, order: Sequence[str]) -> DataFrame:
     """A column for each positive lag; lags of zero or less are skipped."""
@@ -64,7 +66,7 @@ def pack(df: DataFrame, ids: str, key: str, length: int, separator: int) -> Data
     sized = df.select(key, F.concat(ids, F.array(F.lit(separator).cast("int"))).alias("__ids"))
     span = F.floor(F.col(key) / 1024)
     by_span = sized.groupBy(span.alias("__g")).agg(F.sum(F.size("__ids")).alias("__len"))
-    starts = by_span.select("__g", F.coalesce(F.sum("__len").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    starts = sum_before(by_span, "__g", "__len", "__s").select("__g", "__s")
     inside = Window.partitionBy("__g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("__g", span).withColumn("__o", F.coalesce(F.sum(F.size("__ids")).over(inside), F.lit(0))).join(starts, "__g")
     flat = placed.select((F.col("__s") + F.col("__o")).alias("__at"), F.posexplode("__ids").alias("__p", "id"))

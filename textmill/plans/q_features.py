@@ -309,19 +309,10 @@ def ex03(spark, d):
     return joins.nearest_centroid(df, "vec_id", "embedding", joins.centroids(df, "label", "embedding"), "label").select("vec_id", "predicted")
 
 
-@register("ex04_outlier_factor", f"""WITH nn AS (SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS p, {_D} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id < 300 AND b.vec_id < 300) WHERE r <= 10),
+@register("ex04_outlier_factor", f"""WITH nn AS (SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS p, {_D} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE r <= 10),
     k AS (SELECT q, max(d) AS kd FROM nn GROUP BY 1), l AS (SELECT nn.q, 1 / (avg(greatest(kd, d)) + 1e-10) AS lrd FROM nn JOIN k ON k.q = nn.p GROUP BY 1)
     SELECT nn.q AS query, round(avg(o.lrd) / any_value(l.lrd), 5) AS lof FROM nn JOIN l o ON o.q = nn.p JOIN l ON l.q = nn.q GROUP BY 1""")
 def ex04(spark, d):
-    points = read(spark, d, "embeddings").where("vec_id < 300")
-    return estimators.outlier_factor(points, "vec_id", "embedding", 10).select("query", F.round("lof", 5).alias("lof"))
-
-
-@register("ex04_outlier_factor_all", f"""WITH nn AS (SELECT * FROM (SELECT a.vec_id AS q, b.vec_id AS p, {_D} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id) WHERE r <= 10),
-    k AS (SELECT q, max(d) AS kd FROM nn GROUP BY 1), l AS (SELECT nn.q, 1 / (avg(greatest(kd, d)) + 1e-10) AS lrd FROM nn JOIN k ON k.q = nn.p GROUP BY 1)
-    SELECT nn.q AS query, round(avg(o.lrd) / any_value(l.lrd), 5) AS lof FROM nn JOIN l o ON o.q = nn.p JOIN l ON l.q = nn.q GROUP BY 1""")
-def ex04_all(spark, d):
-    """Factors of all embeddings; ex04_outlier_factor judges those of vec_id < 300 among themselves."""
     return estimators.outlier_factor(read(spark, d, "embeddings"), "vec_id", "embedding", 10).select("query", F.round("lof", 5).alias("lof"))
 
 

@@ -283,15 +283,8 @@ def wn10(spark, d):
 # ---------------------------------------------------------------- order, folds, samples
 
 
-@register("sl01_nulls_last", "SELECT l_orderkey, l_linenumber, x FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS x FROM lineitem) ORDER BY x DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 100")
+@register("sl01_nulls_last", "SELECT l_orderkey, l_linenumber, x FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS x FROM lineitem) ORDER BY x DESC NULLS LAST, l_orderkey, l_linenumber")
 def sl01(spark, d):
-    x = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("x")
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x).orderBy(F.col("x").desc_nulls_last(), "l_orderkey", "l_linenumber").limit(100)
-
-
-@register("sl01_nulls_last_all", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS x FROM lineitem ORDER BY x DESC NULLS LAST, l_orderkey, l_linenumber")
-def sl01_all(spark, d):
-    """The whole sorted table; sl01_nulls_last gives its first 100 rows."""
     x = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("x")
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x).orderBy(F.col("x").desc_nulls_last(), "l_orderkey", "l_linenumber")
 
@@ -366,7 +359,7 @@ def cv08(spark, d):
 # ---------------------------------------------------------------- text and scalars
 
 _CLEAN = "coalesce(html, '')"
-for _p, _r in (("<[^>]+>", " "), (r"(?i)(https?://|www\.)[^ \t\n\r]+", " "), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", " "), ("[@#][A-Za-z0-9_]+", " "), (r"[^\x00-\x7F]+", " "), (r"[!?.]+([!?.])", r"\1")):
+for _p, _r in ((tx.TAG, " "), (tx.ADDRESS, " "), (r"\b[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[a-zA-Z]{2,}\b", " "), (r"[@#][\p{L}\p{N}_]+", " "), (tx.UNPRINTABLE, " "), (tx.MARKS, r"\1")):
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '{_r}', 'g')"
 
 
@@ -383,7 +376,7 @@ def sc01_full(spark, d):
 _CODE = "html || ' ```' || chr(10) || 'x = 1 ``` and `y` end'"
 
 
-@register("sc03_clean_code", f"SELECT page_id, {_SQUEEZE % ('regexp_replace(regexp_replace(' + _CODE + ', %s, %s, %s), %s, %s, %s)' % (chr(39) + '(?s)```.*?```' + chr(39), chr(39) + ' ' + chr(39), chr(39) + 'g' + chr(39), chr(39) + '`[^`]*`' + chr(39), chr(39) + ' ' + chr(39), chr(39) + 'g' + chr(39)))} AS cleaned FROM pages")
+@register("sc03_clean_code", f"SELECT page_id, {_SQUEEZE % ('regexp_replace(regexp_replace(' + _CODE + ', %s, %s, %s), %s, %s, %s)' % (chr(39) + '(?s)```.*?```' + chr(39), chr(39) + ' ' + chr(39), chr(39) + 'g' + chr(39), chr(39) + '`[^`]+`' + chr(39), chr(39) + ' ' + chr(39), chr(39) + 'g' + chr(39)))} AS cleaned FROM pages")
 def sc03(spark, d):
     code = F.concat("html", F.lit(" ```\nx = 1 ``` and `y` end"))
     return read(spark, d, "pages").select("page_id", tx.clean_code(code).alias("cleaned"))
@@ -392,7 +385,7 @@ def sc03(spark, d):
 _STOP = ",".join(f"'{w}'" for w in tx.STOP_WORDS)
 
 
-@register("sc04_nlp_tokens", rf"""SELECT page_id, array_to_string(list_filter(string_split({_SQUEEZE % ("regexp_replace(lower(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '(?i)https?://[^ \t\n\r]+', ' ', 'g')), '[^a-z0-9 \t\n\r]', ' ', 'g')")}, ' '),
+@register("sc04_nlp_tokens", rf"""SELECT page_id, array_to_string(list_filter(string_split({_SQUEEZE % ("regexp_replace(lower(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), 'https?://[^ \t\n\x0B\f\r]+', ' ', 'g')), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g')")}, ' '),
     lambda w: length(w) > 2 AND w NOT IN ({_STOP})), ' ') AS tokens FROM pages""")
 def sc04(spark, d):
     return read(spark, d, "pages").select("page_id", F.array_join(tx.nlp_tokens(F.col("html")), " ").alias("tokens"))
@@ -451,12 +444,10 @@ def sc24(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(ratio, 2).alias("ratio"), F.round(logged, 6).alias("logged"))
 
 
-@register("sc25_interactions", "SELECT vec_id, i * 4 + j AS pair, round(CAST(embedding[i] AS DOUBLE) * embedding[j], 6) AS x FROM embeddings, range(1, 4) a(i), range(1, 5) b(j) WHERE i < j")
+@register("sc25_interactions", "SELECT vec_id, count(*) AS n, round(sum(CAST(embedding[i] AS DOUBLE) * embedding[j]), 4) AS total FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) WHERE i < j GROUP BY 1")
 def sc25(spark, d):
-    v = vx.doubles(F.slice("embedding", 1, 4))
-    names = F.array(*(F.lit(i * 4 + j) for i in range(1, 4) for j in range(i + 1, 5)))
-    at = read(spark, d, "embeddings").select("vec_id", F.explode(F.arrays_zip(names.cast("array<bigint>").alias("pair"), vx.interactions(v).alias("x"))).alias("z"))
-    return at.select("vec_id", F.col("z.pair").alias("pair"), F.round("z.x", 6).alias("x"))
+    rows = read(spark, d, "embeddings").select("vec_id", vx.interactions(vx.doubles(F.col("embedding"))).alias("x"))
+    return rows.select("vec_id", F.size("x").cast("long").alias("n"), F.round(vx.total(F.col("x")), 4).alias("total"))
 
 
 @register("sc30_l2_normalize", "SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12))), 6) AS total FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")

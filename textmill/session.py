@@ -35,10 +35,13 @@ def local_session(cores: int | str = 8, app: str = "textmill", **conf: str) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
-    The cluster's ``spark.checkpoint.dir`` wins; a default is set only where it is unset.
+    The cluster's ``spark.checkpoint.dir`` wins; a default is set only where it is unset, and
+    only for a local master, since executors of a cluster share no machine's folder.
     """
     context = spark.sparkContext
     chosen = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not chosen and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     chosen = chosen or "/tmp/textmill-checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(chosen)

@@ -98,8 +98,9 @@ def templates(lines: DataFrame, slim: DataFrame, depth: int, similarity: float,
     ``slim`` has the lines without their texts.
     """
     who = F.struct("__key", "__id")
-    spread = slim.groupBy("leaf").agg(F.min(who).alias("first"), F.max(who).alias("last"))
-    recurring = spread.where(~F.col("first").eqNullSafe(F.col("last"))).select("leaf").checkpoint()
+    # Whether documents differ is told by hashes, which need no sort as structs would.
+    doc = F.xxhash64(F.struct("__key"), "__id", F.col("__key").isNull())
+    recurring = slim.groupBy("leaf").agg(F.min(doc).alias("h1"), F.max(doc).alias("h2")).where("h1 != h2").select("leaf").checkpoint()
     # Most lines of other leaves stay where they are; the join settles the rest.
     words = bloom(recurring, "leaf", bits).scalar()
     inside = lines.where(maybe(words, F.col("leaf"), bits)).join(recurring.hint("shuffle_hash"), "leaf")

@@ -72,10 +72,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written in the checkpoint folder and read again."""
+    """All stages over ``documents``; each is written in the checkpoint folder and read again.
+
+    A stage's folder goes once the next one is written; the last one's stays, for the result is read from it.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            files.delete(path(f"{folder}/{before}"), True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -176,3 +176,75 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1
     none = toxicity.fit(empty, table(spark, sf, "labels"))
     assert all(r["score"] < 0.3 for r in toxicity.score(odd, none, ["doc_id"]).collect())
+
+
+def brute_indicators(text, bits):
+    """Cells by loops over characters and words, in plain whole numbers."""
+    raw = (text or "").encode("utf-8", "replace")
+    mask = (1 << 32) - 1
+
+    def kind(b, coarse):
+        if 97 <= b <= 122 or b >= 128:
+            return 1
+        if 65 <= b <= 90:
+            return 2
+        if 48 <= b <= 57:
+            return 3
+        if b in b" \t\r\x0b\x0c":
+            return 4
+        return 5 if coarse and 33 <= b <= 126 else b + 5
+
+    def cells(code, space):
+        out = set()
+        for n in (1, 2, 3, 4):
+            for i in range(len(code) - n + 1):
+                h = code[i]
+                for c in code[i + 1 : i + n]:
+                    h = (h * 0x01000193 + c) & mask
+                out.add((((h + space * 0x9E37 + n * 0x51ED27) & mask) * 2654435761 & mask) >> (32 - bits))
+        return out
+
+    found = set()
+    for space, coarse in ((1, False), (3, True)):
+        runs = []
+        for b in raw:
+            k = kind(b, coarse)
+            if runs and runs[-1][0] == k:
+                runs[-1][1] += 1
+            else:
+                runs.append([k, 1])
+        found |= cells([k * 4 + (0 if k <= 3 else min(n, 3)) for k, n in runs], space)
+    words = raw.split()
+    marks = [(i >= 1 and words[i] == words[i - 1]) + 2 * (i >= 2 and words[i] == words[i - 2]) for i in range(len(words))]
+    return found | cells(marks, 2)
+
+
+def test_quality_equals_brute_force(spark, sf):
+    """Scores of the registered query from the fitted weights, by plain sums over brute-force cells."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where(fold("doc_id", 5) != 0)
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op2_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        cells = sorted(brute_indicators(r["text"], model.bits))
+        assert cells == quality.indicators(r["text"], model.bits).tolist()
+        length = sum(model.square[c] for c in cells) ** 0.5
+        margin = (sum(model.weight[c] for c in cells) / length if length else 0.0) + model.bias
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), rel=1e-9)
+
+
+def test_toxicity_equals_brute_force(spark, sf_mid):
+    """Events of every document by clause after clause, without the search for entries that comes before."""
+    docs = table(spark, sf_mid, "documents")
+    model = toxicity.fit(docs, table(spark, sf_mid, "labels").where(fold("doc_id", 4) != 2))
+    assert model.lexicon.words or model.lexicon.stems
+    machine = toxicity.Matcher(model.lexicon)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        total = dict.fromkeys(toxicity.EVENTS, 0.0)
+        for clause in toxicity._CLAUSE.findall((r["text"] or "").lower()):
+            for event, weight in machine.clause(clause).items():
+                total[event] += weight
+        x = np.log1p(np.array(list(total.values())))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(x @ model.scale + model.offset))), rel=1e-9)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
@@ -118,3 +119,32 @@ def test_callers_functions(spark, rows):
     assert {r["y"]: r["s"] for r in spread} == {"a": 990.0, "b": 998.0}
     with pytest.raises(ValueError):
         callables.read_by_prefix(spark, "nowhere")
+
+
+def signed64(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_hashed_terms_equal_brute_force(spark):
+    from textmill.operators import vectorize
+
+    texts = [(i, [f"w{(i * j) % 23}" for j in range(30)]) for i in range(20)]
+    counts = vectorize.term_counts(spark.createDataFrame(texts, "k long, t array<string>"), "k", F.col("t"))
+    want = Counter()
+    for k, terms in texts:
+        for term in terms:
+            h = xxhash.xxh64(term.encode(), seed=42).intdigest()
+            want[k, signed64(h) % 16] += -1 if (signed64(h) >> 62) & 1 else 1
+    got = {(r["k"], r["cell"]): r["value"] for r in vectorize.hashed(counts, "k", 16).collect()}
+    assert {c: v for c, v in got.items() if v} == {c: v for c, v in want.items() if v}
+
+
+def test_hash_sample_equals_brute_force(rows):
+    hashes = {r["k"]: r["h"] for r in rows.select("k", F.xxhash64(F.col("k"), F.lit(42)).alias("h")).collect()}
+    got = {r["k"] for r in ranking.hash_sample(rows, "k", 25).collect()}
+    assert got == set(sorted(hashes, key=lambda k: (hashes[k], k))[:25])
+
+
+def test_shuffle_split_parts(rows):
+    got = Counter((r["split"], r["part"]) for r in ranking.shuffle_split(rows, "k", 3, 0.1).collect())
+    assert all(got[s, "test"] + got[s, "train"] == 1000 and 60 < got[s, "test"] < 140 for s in range(3))

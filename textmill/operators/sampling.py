@@ -84,3 +84,12 @@ def scaled_rewards(df: DataFrame, reward: str, done: str, group: str, order: Seq
     var = F.var_pop("ret").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     scaled = F.col(reward) / F.sqrt(var + 1e-8)
     return steps.withColumn("scaled", F.greatest(F.lit(-clip), F.least(F.lit(clip), scaled)))
+
+
+def fifo(df: DataFrame, group: str, key: str, capacity: int) -> DataFrame:
+    """The last ``capacity`` rows of every group by key: what a bounded first-in, first-out memory holds at the end.
+
+    Spark prunes each group to ``capacity`` rows in every task before the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col(key).desc()))
+    return df.withColumn("__r", rank).where(F.col("__r") <= capacity).drop("__r")

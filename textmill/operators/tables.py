@@ -126,3 +126,44 @@ def longest_ancestor(paths: DataFrame, path: str, roots: DataFrame, root: str) -
     dirs = paths.select(path, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias(root))
     best = dirs.join(roots.select(root).distinct(), root).groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
     return paths.select(path).join(best, path, "left")
+
+
+#: Fields of a model's configuration that reports show; fixed values.
+CONFIG_FIELDS = ("n_classes", "model_name", "tokenizer_name", "hidden_size", "num_labels", "embed_dim")
+_WRAPPED = r'^\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{'
+
+
+def shallow_extract(df: DataFrame, raw: str, fields: Sequence[str] = CONFIG_FIELDS) -> DataFrame:
+    """Adds what a report shows of a JSON text; what doesn't apply, and all of an invalid text, is null.
+
+    An object of one key over an object gives model_class and ``fields``; any other object top_keys, its first 20;
+    a list list_length and, where its first element is an object, list_item_keys.
+    """
+    keys = F.json_object_keys(raw)
+    one = (F.size(keys) == 1) & F.col(raw).rlike(_WRAPPED)
+    name = F.when(one, keys[0])
+    inner = F.get(F.map_values(F.from_json(raw, "map<string,string>")), F.lit(0))
+    listed = F.col(raw).rlike(r"^\s*\[")
+    first = F.get_json_object(raw, "$[0]")
+    return df.select(
+        "*", name.alias("model_class"), *(F.when(one, F.get_json_object(inner, f"$.{f}")).alias(f) for f in fields),
+        F.when((F.size(keys) > 0) & ~one, F.slice(keys, 1, 20)).alias("top_keys"),
+        F.when(listed, F.json_array_length(raw)).alias("list_length"),
+        F.when(listed, F.json_object_keys(first)).alias("list_item_keys"),
+    )
+
+
+def config_targets(df: DataFrame, path: str, raw: str, classes: Mapping[str, int], without: Sequence[str] = (), without_class: Sequence[str] = ()) -> DataFrame:
+    """Rows (path, n_classes, stem, model_id, model_class) of the configurations to scan.
+
+    Left out are paths that fit a pattern of ``without``, texts that aren't a JSON object with a key, root classes in
+    ``without_class``, and paths without a folder of ``classes``, the first of which gives the number of classes.
+    """
+    p = F.col(path)
+    number = F.coalesce(*(F.when(p.contains(f"/{folder}/"), F.lit(n)) for folder, n in classes.items()))
+    root = F.get(F.json_object_keys(raw), F.lit(0))
+    plain = F.regexp_replace(p, r"\.[^./]*$", "")
+    kept = df.where(F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False)) & number.isNotNull() & ~root.isin(*without_class))
+    for pattern in without:
+        kept = kept.where(~p.rlike(pattern))
+    return kept.select(p.alias("path"), number.alias("n_classes"), F.regexp_extract(plain, r"([^/]*)$", 1).alias("stem"), F.translate(F.ltrim(plain, F.lit("/")), "/", "_").alias("model_id"), root.alias("model_class"))

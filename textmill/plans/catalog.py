@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Query modules register themselves on import."""
-    from . import q_features, q_prep, q_shape, q_stats, q_stream  # noqa: F401
+    from . import q_features, q_manifest, q_prep, q_shape, q_stats, q_stream  # noqa: F401
 
 
 _load()

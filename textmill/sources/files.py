@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from urllib.parse import urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,3 +129,57 @@ def parse_features(messages: DataFrame, column: str = "value") -> DataFrame:
 def lines_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New files of a folder as a stream of trimmed lines."""
     return spark.readStream.text(folder).select(F.trim("value").alias("line"))
+
+
+def load_split(spark: SparkSession, split: str, config: Mapping[str, Mapping[str, str]] | None = None, source: str | None = None, **options: str) -> DataFrame:
+    """The table of a split: kind and ``<split>_path`` from the section ``data`` of a configuration.
+
+    ``source`` overrides the configured kind; without a path the split is ``data/<split>.csv``.
+    """
+    data = (config or {}).get("data", {})
+    return load_named(spark, source or data.get("source", "local"), data.get(f"{split}_path", f"data/{split}.csv"), **options)
+
+
+def write_metrics(df: DataFrame, path: str, group: str, item: str) -> None:
+    """One JSON object for each ``group``: its ``item``s with the other columns nested beneath; null items are left out."""
+    fields = F.struct(*(c for c in df.columns if c not in (group, item)))
+    nested = df.where(F.col(item).isNotNull()).groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(item).cast("string"), fields)))).alias("items"))
+    nested.write.mode("overwrite").json(path)
+
+
+def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Rows (path, size, sha512) of the files under a folder, each file hashed where it is read.
+
+    Files without bytes are not listed, as Spark's readers leave them out.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return found.select("path", F.col("length").alias("size"), F.sha2("content", 512).alias("sha512"))
+
+
+def check_manifest(stored: DataFrame, root: str, pattern: str = "*") -> DataFrame:
+    """Rows (path, problem) of files that are ``missing``, or ``changed`` since the manifest was made."""
+    now = manifest(stored.sparkSession, root, pattern).select("path", F.col("sha512").alias("now"))
+    problem = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha512"), "changed")
+    return stored.join(now, "path", "left").select("path", problem.alias("problem")).where("problem is not null")
+
+
+def wait_stable(spark: SparkSession, root: str, stable: float, poll: float = 1.0, pattern: str = "*.parquet", most: float | None = None) -> DataFrame:
+    """Waits until the files under a folder, at least one, keep names, sizes and times for ``stable`` seconds; returns their list.
+
+    Beyond ``most`` seconds of waiting it is an error.  Only a digest of the list comes to the driver.
+    """
+    begun, since, last = time.monotonic(), time.monotonic(), None
+    while True:
+        try:
+            found = discover(spark, root, pattern)
+            seen = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("path", "size", "modified").cast("decimal(38,0)"))).first())
+        except AnalysisException:  # the folder isn't there yet
+            found, seen = None, (0, None)
+        now = time.monotonic()
+        if seen != last:
+            last, since = seen, now
+        elif seen[0] and now - since >= stable:
+            return found
+        if most is not None and now - begun > most:
+            raise TimeoutError(f"{root} was not stable within {most} seconds")
+        time.sleep(poll)

@@ -269,6 +269,25 @@ def test_url_sql_on_linked_pages(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_distrust_reaches_along_chains(spark):
+    """Ranks equal the solution of the linear equations, also far from any seed and round a cycle."""
+    names = [f"h{i}.info" for i in range(40)]
+    links = [(i, i - 1) for i in range(1, 40)] + [(5, 9), (20, 30)]
+    edges = spark.createDataFrame([(names[a], names[b], 1 + a % 3) for a, b in links], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([("distrust", names[0], 5), ("trust", names[39], 2)], "kind string, host string, seed long")
+    got = {(r["kind"], r["host"]): r["rank"] for r in url_filter.propagate(seeds, edges, 0.85, 1e-6).collect()}
+    flow = np.zeros((40, 40))
+    for a, b in links:
+        flow[a, b] = 1 + a % 3
+    for kind, f, at, n in (("distrust", flow.T, 0, 5.0), ("trust", flow, 39, 2.0)):
+        share = np.divide(f, f.sum(axis=1, keepdims=True), out=np.zeros_like(f), where=f.sum(axis=1, keepdims=True) > 0)
+        seed = np.zeros(40)
+        seed[at] = 0.15 * n
+        want = np.linalg.solve(np.eye(40) - 0.85 * share.T, seed)
+        assert np.allclose([got.get((kind, h), 0.0) for h in names], want, atol=1e-5)
+    assert got["distrust", names[30]] > 0
+
+
 def test_url_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(pages, url_filter.CONTRACT_RULES, ["page_id"]).count() == 0

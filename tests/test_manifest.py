@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import callables, sampling, tables, tabular
+from textmill.operators import callables, ranking, sampling, tables, tabular
 from textmill.sources import files
 
 
@@ -94,3 +94,21 @@ def test_resume_and_fifo(spark):
     assert sorted(r["batch"] for r in whole) == [i // 16 for i in range(100)]
     assert {tuple(r) for r in rest} == {tuple(r) for r in whole if r["batch"] >= 4}
     assert {r["id"] for r in sampling.fifo(rows, "g", "id", 2).collect()} == {94, 95, 96, 97, 98, 99}
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7, 64, 1000])
+def test_row_numbers_by_any_number_of_ranges(spark, buckets):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 50 != 0, (F.col("id") * 7919) % 997).alias("k"))
+    got = {r["id"]: r["row_index"] for r in ranking.row_index(rows, "k", ["id"], buckets=buckets).collect()}
+    order = sorted(rows.collect(), key=lambda r: (r["k"] is not None, r["k"] or 0, r["id"]))
+    assert got == {r["id"]: i for i, r in enumerate(order)}
+    cells = rows.where("k is not null").groupBy("k").agg(F.sum("id").alias("v"))
+    before = {r["k"]: r["s"] for r in ranking.sum_before(cells, "k", "v", "s", buckets=buckets).collect()}
+    total = 0
+    for k, v in sorted(tuple(r) for r in cells.collect()):
+        assert before[k] == total
+        total += v
+
+
+def test_larger_tables_have_more_ranges(spark, sf):
+    assert ranking._ranges(spark.range(10)) == 64 < ranking._ranges(spark.range(10**9)) < ranking._ranges(spark.range(10**10)) <= ranking.MOST_RANGES

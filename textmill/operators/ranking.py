@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranged(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Adds __b, the range of a numeric or time key between approximate quantiles; null keys are in -1."""
+#: Bytes read for a range, and the most ranges that are cut.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 16_384
+
+
+def _ranges(df: DataFrame) -> int:
+    """Ranges for a table, by the planner's estimates of what it reads, which run nothing; 64 at least.
+
+    Its estimate of a join is the product of both sides, so the leaves are added up instead.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(64, min(MOST_RANGES, size // RANGE_BYTES))
+
+
+def _ranged(df: DataFrame, key: str, buckets: int | None) -> DataFrame:
+    """Adds __b, the range of a numeric or time key between approximate quantiles; null keys are in -1.
+
+    A value is placed among every ``step``-th cut first and then among the cuts from there, so a row
+    looks at about twice the root of their number.
+    """
+    buckets = _ranges(df) if buckets is None else buckets
+    step = max(1, math.isqrt(buckets))
     value = F.col(key).cast("double")
-    cuts = df.agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(1000)).alias("c")).scalar()
-    bucket = F.when(value.isNull(), -1).otherwise(F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c < value)))
-    return df.withColumn("__cuts", cuts).withColumn("__b", bucket).drop("__cuts")
+    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    cuts = F.coalesce(F.percentile_approx(value, shares, F.lit(max(1000, 16 * buckets))), F.array().cast("array<double>"))
+    both = df.agg(cuts.alias("c")).select(F.struct("c", F.filter("c", lambda x, i: i % step == step - 1).alias("f")).alias("s")).scalar()
+    passed = F.size(F.filter("__cuts.f", lambda c: c < value)) * step
+    bucket = F.when(value.isNull(), -1).otherwise(passed + F.size(F.filter(F.slice("__cuts.c", passed + 1, F.lit(step)), lambda c: c < value)))
+    return df.withColumn("__cuts", both).withColumn("__b", bucket).drop("__cuts")
 
 
 def _before(totals: DataFrame, value: str) -> DataFrame:
@@ -22,12 +46,12 @@ def _before(totals: DataFrame, value: str) -> DataFrame:
     return totals.select("__b", before.alias("__before"))
 
 
-def row_index(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "row_index", buckets: int = 64) -> DataFrame:
+def row_index(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "row_index", buckets: int | None = None) -> DataFrame:
     """Adds positions from 0 in the order of a numeric or time key, then of ``ties``.
 
-    Approximate quantiles of the key, one aggregation, cut the rows into buckets; row numbers
-    are taken within buckets and shifted by the counts of those before, of which there are
-    ``buckets`` at most.  Rows with a null key come first.
+    Approximate quantiles of the key, one aggregation, cut the rows into ranges, more of them for a larger
+    table; row numbers are taken within ranges and shifted by the counts of those before, of which
+    there are ``buckets`` at most.  Rows with a null key come first.
     """
     cut = _ranged(df, key, buckets)
     shift = _before(cut.groupBy("__b").agg(F.count("*").alias("__n")), "__n")
@@ -36,7 +60,7 @@ def row_index(df: DataFrame, key: str, ties: Sequence[str] = (), name: str = "ro
     return numbered.withColumn(name, (F.col("__before") + F.col("__rn")).cast("long")).drop("__b", "__rn", "__before")
 
 
-def sum_before(df: DataFrame, key: str, value: str, name: str, buckets: int = 64) -> DataFrame:
+def sum_before(df: DataFrame, key: str, value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Adds the sum of a value over all rows of smaller key, by ranges as in ``row_index``; keys are distinct."""
     cut = _ranged(df, key, buckets)
     shift = _before(cut.groupBy("__b").agg(F.sum(value).alias("__n")), "__n")

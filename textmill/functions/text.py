@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .vectors import bound
+
 # The usual English list of words without content, as results depend on it.
 STOP_WORDS = tuple(
     """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
@@ -114,29 +116,28 @@ def nlp_tokens(c: Column) -> Column:
     return F.filter(words(c), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
-def _joined(arr: Column, n: int):
-    return lambda i: F.array_join(F.slice(arr, i, n), " ")
+def _run(items: Column, n: int, between: str):
+    """The ``n`` elements from a position on; got one by one, since a slice would go through the whole array."""
+    return lambda i: F.concat_ws(between, *(F.get(items, i + j) for j in range(n)))
 
 
-def _piece(c: Column, n: int):
-    return lambda i: F.substring(c, i, n)
+def _runs(items: Column, low: int, high: int, between: str) -> Column:
+    parts = []
+    for n in range(low, high + 1):
+        at = F.when(F.size(items) >= n, F.sequence(F.lit(0), F.size(items) - n)).otherwise(F.array().cast("array<int>"))
+        parts.append(F.transform(at, _run(items, n, between)))
+    return F.flatten(F.array(*parts))
 
 
 def ngrams(arr: Column, low: int, high: int) -> Column:
     """Token n-grams of the orders low to high, joined by blanks."""
-    parts = []
-    for n in range(low, high + 1):
-        at = F.when(F.size(arr) >= n, F.sequence(F.lit(1), F.size(arr) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, _joined(arr, n)))
-    return F.flatten(F.array(*parts))
+    return bound(arr, lambda a: _runs(a, low, high, " "))
 
 
 def char_ngrams(c: Column, low: int, high: int) -> Column:
-    parts = []
-    for n in range(low, high + 1):
-        at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, _piece(c, n)))
-    return F.flatten(F.array(*parts))
+    """Character n-grams of the orders low to high; the text is parted once, so long texts take time in proportion."""
+    letters = F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    return bound(letters, lambda a: _runs(a, low, high, ""))
 
 
 def quality_ok(c: Column, diversity: float = 0.05, digits: float = 0.5, least_words: int = 20) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it, also inside other lambdas."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
@@ -24,8 +31,8 @@ def l2(c: Column) -> Column:
 
 def normalized(c: Column, norm: str = "l2", least: float = 1e-12) -> Column:
     """A row divided by its l1, l2 or max norm; a zero row stays."""
-    size = {"l1": total(F.transform(c, F.abs)), "l2": l2(c), "max": F.array_max(F.transform(c, F.abs))}[norm]
-    return F.transform(c, lambda x: x / F.greatest(size, F.lit(least)))
+    size = {"l1": lambda v: total(F.transform(v, F.abs)), "l2": l2, "max": lambda v: F.array_max(F.transform(v, F.abs))}[norm]
+    return bound(c, lambda v: bound(F.greatest(size(v), F.lit(least)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def resized(c: Column, width: int) -> Column:
@@ -57,10 +64,13 @@ def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 2.0) ->
     raise ValueError(f"no metric {metric!r}")
 
 
+def _shares(c: Column) -> Column:
+    """Elements as shares of their sum."""
+    return bound(c, lambda v: bound(total(v), lambda n: F.transform(v, lambda x: x / n)))
+
+
 def softmax(c: Column) -> Column:
-    top = F.array_max(c)
-    e = F.transform(c, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    return _shares(bound(c, lambda v: bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def argmax(c: Column) -> Column:
@@ -70,10 +80,11 @@ def argmax(c: Column) -> Column:
 
 def top_k_gate(c: Column, k: int) -> Column:
     """Softmax over the k largest logits, 0 elsewhere."""
-    least = F.element_at(F.sort_array(c, asc=False), k)
-    top = F.array_max(c)
-    e = F.transform(c, lambda x: F.when(x >= least, F.exp(x - top)).otherwise(F.lit(0.0)))
-    return F.transform(e, lambda x: x / total(e))
+    def gate(v: Column) -> Column:
+        ends = F.struct(F.element_at(F.sort_array(v, asc=False), k).alias("least"), F.array_max(v).alias("top"))
+        return bound(ends, lambda s: F.transform(v, lambda x: F.when(x >= s["least"], F.exp(x - s["top"])).otherwise(F.lit(0.0))))
+
+    return _shares(bound(c, gate))
 
 
 def interactions(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
+from ..functions.vectors import bound
 
 
 def processed(df: DataFrame, text: str, label: Column | None, stem: Column | str) -> DataFrame:
@@ -122,8 +123,8 @@ def log_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def longest_ancestor(paths: DataFrame, path: str, roots: DataFrame, root: str) -> DataFrame:
     """For each path the nearest of its directories that is listed: directories are exploded and joined."""
-    parts = F.split(path, "/")
-    dirs = paths.select(path, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias(root))
+    ancestors = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, 1, i), "/"))
+    dirs = paths.select(path, F.explode(bound(F.split(path, "/"), ancestors)).alias(root))
     best = dirs.join(roots.select(root).distinct(), root).groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
     return paths.select(path).join(best, path, "left")
 

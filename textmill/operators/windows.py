@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import bound
 from .ranking import sum_before
 
 
@@ -31,8 +32,12 @@ def frame_stack(df: DataFrame, value: str, n: int, group: str, order: Sequence[s
 
 def clips(arr: Column, size: int, stride: int) -> Column:
     """Windows of an array as an array of arrays; none where it is too short."""
-    at = F.when(F.size(arr) >= size, F.sequence(F.lit(0), F.size(arr) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.slice(arr, i + 1, size))
+
+    def cut(a: Column) -> Column:
+        at = F.when(F.size(a) >= size, F.sequence(F.lit(0), F.size(a) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.get(a, i + j)))  # a slice would go through all of it
+
+    return bound(arr, cut)
 
 
 def drop_repeats(df: DataFrame, line: str, group: str, order: str, least: int = 8) -> DataFrame:

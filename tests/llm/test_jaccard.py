@@ -166,3 +166,32 @@ def test_deletions_alone_equal_brute_force(spark, monkeypatch):
     chosen, _ = jj.allocate(jj.describe(df, "doc_id", "text", jj.Measure()), jj.Measure())
     assert all(jj.OPTIONS[o][1] > 0 for o in chosen.values())
     assert got(jj.link_components(df)) == brute(rows)
+
+
+def test_names_are_few_beside_signatures(spark, monkeypatch):
+    """A table of many buckets sends a set's name to few of them, in both partitions of the universe."""
+    random = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in random.integers(0, 1 << 40, n))
+    rows = list(enumerate(f"{half} {words(75)}" for half in [words(75) for _ in range(40)] for _ in range(6)))
+    sent, inner = [], jj.shared
+
+    def spy(packed, names, buckets, *rest, **named):
+        sums = packed.agg(F.sum(F.length("who")), F.sum(F.length("keys"))).first()
+        sent.append((buckets, *sums))
+        return inner(packed, names, buckets, *rest, **named)
+
+    monkeypatch.setattr(jj, "shared", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jj.link_components(df, signatures_a_bucket=2000)) == brute(rows)
+    assert len(sent) == 2 and all(buckets > 10 and 3 * who < keys for buckets, who, keys in sent), sent
+
+
+def test_places_part_segments_and_hold_equal_signatures():
+    random = np.random.default_rng(5)
+    sig = random.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    for bits, buckets in ((1, 9), (7, 9), (7, 1), (40, 5), (64, 6)):
+        segment = random.integers(0, (1 << bits) - 1, len(sig), dtype=np.uint64, endpoint=True)
+        at = jj.places(segment, bits, sig, buckets)
+        counts = np.bincount(at, minlength=buckets)
+        assert len(counts) == buckets and counts.min() * 2 > counts.max()
+        assert (jj.places(segment[::-1], bits, sig[::-1], buckets)[::-1] == at).all()

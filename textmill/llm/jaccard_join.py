@@ -34,6 +34,9 @@ most H = floor(n / 3) elements, as seen from either of sizes n (in general n (de
    edits that only one copy has are in no signature that is shared.  So components are exact,
    while a group of near copies takes a few pairs a member.
 
+A bucket holds a range of one scheme's segments, or of one pivot's elements, and there are more of them for a larger
+table.  So a set goes to the buckets of its bands alone and has several signatures in each, and its name is sent once for them.
+
 A signature that many sets of a task have overflows: but for the first ``most``, its holders go to
 buckets of their own, by task, and learn its count later, so no bucket gets all of them.
 
@@ -114,8 +117,8 @@ def gain_and_cost(elements: np.ndarray, bits: int, share: float, most: int, know
     return len(size) + len(wide), len(size) + int(wide.sum())
 
 
-def signatures(elements: np.ndarray, k: int, bits: int, share: float, most: int) -> tuple[np.ndarray, int]:
-    """64-bit signatures of the non-empty segments, deletions last, and the number of those segments."""
+def signatures(elements: np.ndarray, k: int, bits: int, share: float, most: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """64-bit signatures of the non-empty segments, deletions last; the number of those segments; and the segment of every signature."""
     segment, begin, size = runs(elements, bits)
     value = mixed(elements ^ _U(0x5851F42D4C957F2D))
     total = np.add.reduceat(value, begin)
@@ -125,12 +128,19 @@ def signatures(elements: np.ndarray, k: int, bits: int, share: float, most: int)
         wide = np.repeat((size > 1) & (segment < _U(int(share * (1 << bits)))), size)
         less = (np.repeat(total, size) - value)[wide]
         out = np.concatenate([out, mixed(less + mixed(np.repeat(tag, size)[wide]))])
-    return out, len(begin)
+        segment = np.concatenate([segment, np.repeat(segment, size)[wide]])
+    return out, len(begin), segment
+
+
+def places(segment: np.ndarray, bits: int, sig: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of a scheme's buckets signatures go to: ranges of segments; where those are few, hashes part a segment."""
+    at = (segment + (sig & _U(0xFFFFFFFF)) / 2.0**32) * (buckets / 2.0**bits)
+    return np.minimum(at.astype(np.int64), buckets - 1)
 
 
 def describe(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
-    """Rows (key, n, cid, bands, gains, costs): what allocation needs to know of every set."""
-    fields = f"{key} {docs.schema[key].dataType.simpleString()}, n long, cid long, bands array<int>, gains array<int>, costs array<int>"
+    """Rows (key, n, cid, bands, gains, costs, fills): what allocation needs to know of every set, and its numbers of non-empty segments."""
+    fields = f"{key} {docs.schema[key].dataType.simpleString()}, n long, cid long, bands array<int>, gains array<int>, costs array<int>, fills array<int>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, tuple] = {}
@@ -147,30 +157,47 @@ def describe(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFram
                         known: dict = {}
                         most = measure.most_differences(len(e))
                         tried = [gain_and_cost(e, *measure.segments(k, o), most, known) for k in bands for o in range(len(OPTIONS))]
-                        seen[cid] = (len(e), cid, bands, [g - most - 1 for g, _ in tried], [c for _, c in tried])
+                        fills = [len(known[measure.segments(k, o)[0]][0]) for k in bands for o in range(len(OPTIONS))]
+                        seen[cid] = (len(e), cid, bands, [g - most - 1 for g, _ in tried], [c for _, c in tried], fills)
                     rows.append(seen[cid])
-                frame = pd.DataFrame(rows, columns=["n", "cid", "bands", "gains", "costs"])
+                frame = pd.DataFrame(rows, columns=["n", "cid", "bands", "gains", "costs", "fills"])
                 frame.insert(0, key, piece[key].to_numpy())
                 yield frame
 
     return docs.select(key, text).mapInPandas(run, fields)
 
 
-def allocate(described: DataFrame, measure: Measure) -> tuple[dict[int, int], int]:
-    """The cheapest option that suffices, for every band; and the number of signatures in all."""
+def allocate(described: DataFrame, measure: Measure) -> tuple[dict[int, int], dict[int, int]]:
+    """The cheapest option that suffices, for every band; and its number of signatures."""
     tried = described.select(F.posexplode("bands").alias("at", "k"), "gains", "costs")
     n = len(OPTIONS)
     tried = tried.select("k", F.slice("gains", F.col("at") * n + 1, n).alias("g"), F.slice("costs", F.col("at") * n + 1, n).alias("c"))
     least = [F.min(F.col("g")[o]).alias(f"g{o}") for o in range(n)]
     cost = [F.sum(F.col("c")[o]).alias(f"c{o}") for o in range(n)]
-    chosen, total = {}, 0
+    chosen, totals = {}, {}
     for row in tried.groupBy("k").agg(*least, *cost).collect():  # a row for each band
         fit = [(row[f"c{o}"], o) for o in range(n) if row[f"g{o}"] >= 0]
         if not fit:
             raise ValueError(f"no allocation outlasts the differences in band {row['k']}")
-        c, o = min(fit)
-        chosen[row["k"]], total = o, total + c
-    return chosen, total
+        totals[row["k"]], chosen[row["k"]] = min(fit)
+    return chosen, totals
+
+
+def units_of(described: DataFrame, chosen: dict[int, int]) -> DataFrame:
+    """Rows (cid, k, n, filled) of the classes in their schemes."""
+    option = F.create_map(*(F.lit(x) for pair in chosen.items() for x in pair))
+    tried = described.select("cid", "n", F.posexplode("bands").alias("at", "k"), "fills").where(F.col("k").isin(*chosen))
+    filled = F.get("fills", F.col("at") * len(OPTIONS) + option[F.col("k")])
+    return tried.select("cid", "k", "n", filled.alias("filled")).groupBy("cid", "k").agg(F.first("n").alias("n"), F.first("filled").alias("filled"))
+
+
+def bucket_ranges(totals: dict[int, int], signatures_a_bucket: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """First bucket and number of buckets of every band, and the number of all."""
+    ranges, at = {}, 0
+    for k in sorted(totals):
+        ranges[k] = at, max(1, math.ceil(totals[k] / signatures_a_bucket))
+        at += ranges[k][1]
+    return ranges, at
 
 
 class Packer:
@@ -202,13 +229,13 @@ class Packer:
         self.hot = np.union1d(self.hot, kind[begin][size > self.most])
         return some[np.arange(len(kind)) - np.repeat(begin, size) >= np.repeat(first, size)]
 
-    def pack(self, units: list[tuple], parts: list[np.ndarray]) -> pd.DataFrame:
+    def pack(self, units: list[tuple], parts: list[np.ndarray], buckets: list[np.ndarray]) -> pd.DataFrame:
         sig = np.concatenate(parts)
         unit = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = (sig & _U(0xFFFFFFFF)) % _U(self.buckets) << _U(1)
-        place[self.late(sig)] |= _U(1)
+        place = np.concatenate(buckets) << 1
+        place[self.late(sig)] |= 1
         order = np.argsort(place.astype(np.uint16 if self.buckets < 1 << 15 else np.int64), kind="stable")
-        place, unit, key = place[order].astype(np.int64), unit[order], (sig >> _U(32)).astype(np.uint32)[order]
+        place, unit, key = place[order], unit[order], (sig >> _U(32)).astype(np.uint32)[order]
         who = np.array(units, dtype=np.int64)
         edges = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True]))) if len(sig) else [0]
         rows = []
@@ -260,14 +287,14 @@ def shared(packed: DataFrame, names: list[str], buckets: int, most: int, differ:
 _PRIME = mixed(np.arange(1, 9, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-def emit(docs: DataFrame, text: str, measure: Measure, chosen: dict[int, int], buckets: int, most: int) -> DataFrame:
-    """Packed signatures of the units (cid, k, n, filled); equal sets of a task once."""
+def emit(docs: DataFrame, text: str, measure: Measure, chosen: dict[int, int], ranges: dict[int, tuple[int, int]], buckets: int, most: int) -> DataFrame:
+    """Packed signatures of the classes, whose bucket tells the scheme; equal sets of a task once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, packer = set(), Packer(buckets, most)
         for batch in batches:
             for piece in slices(batch, text, rows=2048, chars=8_000_000):
-                units, parts = [], []
+                units, parts, at = [], [], []
                 for t in piece[text]:
                     e = measure.elements(t)
                     bands = measure.bands(len(e))
@@ -276,19 +303,23 @@ def emit(docs: DataFrame, text: str, measure: Measure, chosen: dict[int, int], b
                     seen.add(cid)
                     for k in bands:
                         if k in chosen:
-                            sig, filled = signatures(e, k, *measure.segments(k, chosen[k]), measure.most_differences(len(e)))
-                            units.append((cid, k, len(e), filled))
+                            bits, share = measure.segments(k, chosen[k])
+                            sig, _, segment = signatures(e, k, bits, share, measure.most_differences(len(e)))
+                            units.append((cid,))
                             parts.append(sig)
+                            at.append(ranges[k][0] + places(segment, bits, sig, ranges[k][1]))
                 if parts:
-                    yield packer.pack(units, parts)
+                    yield packer.pack(units, parts, at)
 
     return docs.select(text).mapInPandas(run, Packer.schema)
 
 
-def rarest(found: DataFrame, measure: Measure) -> DataFrame:
+def rarest(found: DataFrame, units: DataFrame, ranges: dict[int, tuple[int, int]], measure: Measure) -> DataFrame:
     """Rows (sig, cid, n, central) of the signatures through which a class needs to look for partners."""
-    central = F.sum(F.log2("freq")) / F.first("filled")  # a segment that no other class shares adds nothing
-    listed = found.groupBy("cid", "k").agg(F.first("n").alias("n"), F.first("filled").alias("filled"), F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"), central.alias("central"))
+    bucket = F.col("sig").bitwiseAND(F.lit(0xFFFFFFFF))
+    k = F.coalesce(*(F.when(bucket >= begin, k) for k, (begin, _) in sorted(ranges.items(), reverse=True)))
+    listed = found.withColumn("k", k).groupBy("cid", "k").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("sigs"), F.sum(F.log2("freq")).alias("heard"))
+    listed = listed.join(units, ["cid", "k"]).withColumn("central", F.col("heard") / F.col("filled"))  # a segment that no other class shares adds nothing
     own = F.col("filled") - F.size("sigs")  # segments that no other class shares come first
     outlast = F.floor(F.col("n") * (measure.den - measure.num) / measure.num)
     need = F.when(F.col("filled") > outlast, outlast + 1 - own).otherwise(F.size("sigs"))
@@ -379,23 +410,29 @@ def unsettled(met: DataFrame, roots: DataFrame, judged: DataFrame, bits: int = 1
     return rows.select(F.xxhash64("cid", "q").alias("u"), "q", "cid", "n", "d", root.alias("root"), (root != F.coalesce("q_root", "q")).alias("apart"))
 
 
-def differences(units: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFrame:
-    """Packed signatures of the units (u, root): the elements that are in one of cid and q."""
-    pivots = sets.join(units.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("q"), F.col("elements").alias("eq"))
+def differences(units: DataFrame, sets: DataFrame, buckets: int, signatures_a_bucket: int, most: int) -> DataFrame:
+    """Packed signatures of the units (u, root): the elements that are in one of cid and q.
+
+    Those of one pivot go to one bucket, or to as many by ranges of elements as they fill quarters of one.
+    """
+    spread = F.least(F.lit(buckets), F.ceil(4 * F.sum("d") / signatures_a_bucket)).alias("spread")
+    pivots = units.groupBy(F.col("q").alias("cid")).agg(spread).join(sets, "cid").select(F.col("cid").alias("q"), "spread", F.col("elements").alias("eq"))
     both = units.select("u", "root", "cid", "q").join(sets, "cid").join(pivots, "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(buckets, most)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                names, parts = [], []
-                for r in batch.iloc[at : at + 1024].itertuples():
+            for begin in range(0, len(batch), 1024):
+                names, parts, at = [], [], []
+                for r in batch.iloc[begin : begin + 1024].itertuples():
                     e = np.setxor1d(np.frombuffer(r.elements, dtype=np.uint64), np.frombuffer(r.eq, dtype=np.uint64), assume_unique=True)
                     names.append((r.u, r.root))
-                    parts.append(mixed(e + mixed(np.array([r.q], dtype=np.int64).astype(np.uint64))))
-                yield packer.pack(names, parts)
+                    pivot = mixed(np.array([r.q], dtype=np.int64).astype(np.uint64))
+                    parts.append(mixed(e + pivot))
+                    at.append((int(pivot[0]) % buckets + places(e, 64, parts[-1], r.spread)) % buckets)
+                yield packer.pack(names, parts, at)
 
-    return both.select("u", "root", "q", "elements", "eq").mapInPandas(run, Packer.schema)
+    return both.select("u", "root", "q", "spread", "elements", "eq").mapInPandas(run, Packer.schema)
 
 
 def settling_pairs(found: DataFrame, units: DataFrame, measure: Measure) -> DataFrame:
@@ -431,12 +468,12 @@ def link_components(
     ensure_checkpoint_dir(docs.sparkSession)
     described = describe(docs, key, text, measure).checkpoint()
     named = described.select(key, "n", "cid")
-    chosen, total = allocate(described, measure)
+    chosen, totals = allocate(described, measure)
     if not chosen:
         return with_ids(named, None, key)
-    buckets = max(8, math.ceil(total / signatures_a_bucket))
-    found = shared(emit(docs, text, measure, chosen, buckets, most), ["cid", "k", "n", "filled"], buckets, most)
-    prefix = rarest(found, measure).checkpoint()
+    ranges, buckets = bucket_ranges(totals, signatures_a_bucket)
+    found = shared(emit(docs, text, measure, chosen, ranges, buckets, most), ["cid"], buckets, most)
+    prefix = rarest(found, units_of(described, chosen), ranges, measure).checkpoint()
     sets = sets_of(docs, key, text, measure, named, prefix.select("cid").distinct()).checkpoint()
 
     met = with_pivots(prefix).checkpoint()
@@ -445,7 +482,7 @@ def link_components(
     units = unsettled(met, roots, judged).checkpoint()
     if not units.isEmpty():
         buckets = max(8, math.ceil(units.agg(F.sum("d")).first()[0] / signatures_a_bucket))
-        apart = shared(differences(units, sets, buckets, most), ["u", "root"], buckets, most, differ="root")
+        apart = shared(differences(units, sets, buckets, signatures_a_bucket, most), ["u", "root"], buckets, most, differ="root")
         pairs = settling_pairs(apart, units, measure).join(judged.select("a", "b"), ["a", "b"], "left_anti")
         final = verified(pairs, sets, measure).checkpoint()
         roots = connected_components(judged.union(final).where("linked"))

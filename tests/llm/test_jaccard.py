@@ -143,6 +143,32 @@ def near_group(random, copies, words=120, edits=40):
     return out
 
 
+@pytest.mark.parametrize("rows_a_partition", [10, 200_000])
+def test_components_by_rounds_and_by_one_task(spark, rows_a_partition):
+    random = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in random.integers(-(2**62), 2**62, 150)[random.integers(0, 150, (110, 2))]]
+    least = {n: n for edge in edges if edge[0] != edge[1] for n in edge}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), rows_a_partition=rows_a_partition).collect()
+    assert {r["node"]: r["root"] for r in found} == least and len(found) == len(least)
+    assert not connected_components(spark.createDataFrame([], "a long, b long"), rows_a_partition=rows_a_partition).collect()
+
+
+def test_few_edges_take_no_rounds(spark):
+    """A long path of few edges: every round would cost each partition a task and a file for each of its shuffles."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    try:
+        assert {r["root"] for r in connected_components(edges).collect()} == {0}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("few edges")) <= 6
+
+
 @pytest.mark.parametrize("most", [4, 64])
 def test_large_group_of_near_copies_equals_brute_force(spark, most):
     random = np.random.default_rng(11)

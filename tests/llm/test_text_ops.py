@@ -201,6 +201,20 @@ def test_lines_odd_rows(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_leaves_need_the_leading_tokens_alone(spark):
+    """A line's leaf is that of its whole masked line, and a filter on leaves needs no pattern over whole lines."""
+    lines = ["a1 b http://x/y c d e", "one two three four 5 six", "  http://a b@c 7 x y z w", "x\ty  z\u00a0q r s", "a 1 b", "", "   ", "\u4f60\u597d 3 a b c d"]
+    docs = spark.createDataFrame([(1, 1, "\n".join(lines)), (2, 2, None)], "__key long, __id long, text string")
+    out = line_dedup.lines_of(docs, "text", 3, 1, 5)
+    n = line_dedup.n_tokens(F.col("masked"))
+    whole = F.xxhash64(n, F.when(n < 5, F.col("masked")).otherwise(F.substring_index("masked", " ", 3)))
+    got = {r["line_no"]: (r["masked"], r["leaf"] == r["whole"]) for r in out.withColumn("whole", whole).collect()}
+    masked = {0: "<*> b <*> c d e", 1: "one two three four <*> six", 2: "<*> <*> <*> x y z w", 3: "x y z q r s", 4: "a 1 b", 7: "\u4f60 \u597d <*> a b c d"}
+    assert got == {k: (v, True) for k, v in masked.items()}
+    plan = out.select("leaf")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index(line" in plan and "transform(" not in plan and "regexp_replace(line" not in plan
+
+
 def test_short_lines_and_other_white_space(spark):
     own = [" ".join(w + x for w in "words of a line that no other document has".split()) for x in "abc"]
     dense, thai = "\u6b22\u8fce\u6765\u5230\u6211\u4eec\u7684\u7f51\u7ad9", "\u0e22\u0e34\u0e19\u0e14\u0e35\u0e15\u0e49\u0e2d\u0e19\u0e23\u0e31\u0e1a"

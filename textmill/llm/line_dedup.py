@@ -83,13 +83,17 @@ def placed(masked: Column) -> Column:
 
 def lines_of(docs: DataFrame, text: str, depth: int, min_tokens: int, alike_from: int) -> DataFrame:
     """Rows (__key, __id, line_no, masked, leaf, line_hash) of the lines that the tree holds."""
-    # Within the generator's input, so that no filter behind it makes the patterns run again.
-    parts = F.transform(F.split(spaced(F.col(text)), "\n"), lambda line: F.trim(line))
-    masked = F.transform(parts, lambda line: F.when(n_tokens(line) < alike_from, line).otherwise(masked_line(line)))
-    lines = docs.select("__key", "__id", F.posexplode(masked).alias("line_no", "masked"))
-    lines = lines.withColumn("n", n_tokens(F.col("masked"))).where(F.col("n") >= max(1, min_tokens))
-    leaf = F.xxhash64("n", F.when(F.col("n") < alike_from, F.col("masked")).otherwise(F.substring_index("masked", " ", depth)))
-    return lines.select("__key", "__id", "line_no", "masked", leaf.alias("leaf")).withColumn("line_hash", F.xxhash64("leaf", "masked"))
+    lines = docs.select("__key", "__id", F.posexplode(F.split(spaced(F.col(text)), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where("line != ''").withColumn("n", n_tokens(F.col("line")))
+    if min_tokens > 1:
+        lines = lines.where(F.col("n") >= min_tokens)
+    # Fields are generalised token by token, so the leading ones tell the leaf, and a filter on leaves
+    # spares the others' lines the patterns.
+    masked, leading = (
+        F.when(F.col("n") < alike_from, F.col("line")).otherwise(masked_line(part)) for part in (F.col("line"), F.substring_index("line", " ", depth))
+    )
+    lines = lines.select("__key", "__id", "line_no", masked.alias("masked"), F.xxhash64("n", leading).alias("leaf"))
+    return lines.withColumn("line_hash", F.xxhash64("leaf", "masked"))
 
 
 def templates(lines: DataFrame, slim: DataFrame, depth: int, similarity: float, bits: int) -> DataFrame:
